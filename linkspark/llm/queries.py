@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import exact, oracle, pack, shard, warc
+from linkspark.llm import decontam, exact, near, oracle, pack, pii, shard, toxic, warc
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +26,11 @@ def op1_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard(_table(spark, sf_dir, "documents"), 8).drop("rn")
 
 
+def op2_icws_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its near-duplicate class."""
+    return near.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row that stays of its equal texts."""
     return exact.dedup(_table(spark, sf_dir, "documents"))
@@ -36,10 +41,25 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages"))
 
 
+def op6_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored for toxicity by a classifier learnt from positive and unlabelled texts."""
+    return toxic.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return pack.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_feistel_shards, op4_exact_dedup, op5_warc, op7_best_fit_packing)}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its best alignment to a benchmark item."""
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data and the terms that disclose it."""
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_feistel_shards, op2_icws_near_dedup, op4_exact_dedup, op5_warc, op6_nnpu_toxicity, op7_best_fit_packing, op8_decontamination, op10_personal_data)}
 ORACLES: dict[str, str] = {"op1_feistel_shards": oracle.shards(), "op4_exact_dedup": oracle.EXACT, "op5_warc": oracle.WARC}
