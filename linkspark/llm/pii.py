@@ -87,6 +87,28 @@ def _told(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat(F.lit(f"{kind}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
 
 
+def _entities(spans: bool = False) -> Column:
+    """All entities of a row as ``kind:value``, with their places if ``spans``."""
+
+    def of(kind: str) -> Column:
+        def name(s: Column) -> Column:
+            entity = F.concat(F.lit(f"{kind}:"), F.lower(s["value"]))
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), entity.alias("entity")) if spans else entity
+
+        return F.transform(kind, name)
+
+    return F.concat(*map(of, KINDS))
+
+
+def _marks(kind: str) -> Column:
+    """Spans of one kind with the text that takes their place."""
+
+    def mark(s: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("mark"), F.lower(s["value"]).alias("term"))
+
+    return F.transform(F.coalesce(kind, F.array().cast("array<struct<start:int,end:int,value:string>>")), mark)
+
+
 def _words(text: Column) -> Column:
     """Distinct lower-cased words of letters."""
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= TERM_LETTERS))
@@ -104,7 +126,7 @@ def find(docs: DataFrame, id_col: str, text_col: str, all_texts: bool = False) -
 
 def _contexts(base: DataFrame) -> DataFrame:
     """``(rid, entity, ctx, term)``: the words near each entity in its line."""
-    spans = F.concat(*(F.transform(k, lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit(f"{k}:"), F.lower(s["value"])).alias("entity"))) for k in KINDS))
+    spans = _entities(spans=True)
     each = base.where("has").select("rid", "text", F.explode(spans).alias("s")).select("rid", "text", "s.*")
     first = F.greatest(F.col("start") - CONTEXT, F.lit(0))
     before = F.substring("text", first + 1, F.col("start") - first)
@@ -126,7 +148,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, text_col: str) -> DataFra
     IC = ln(n / df(e)); told on if PMI >= DISCLOSURE * IC. A term never seen
     without the entity is removed, others are generalised.
     """
-    entities = F.concat(*(F.transform(k, lambda s, k=k: F.concat(F.lit(f"{k}:"), F.lower(s["value"]))) for k in KINDS))
+    entities = _entities()
     of_rows = base.where("has").select("rid", F.explode(F.array_distinct(entities)).alias("entity"))
     e_df = of_rows.groupBy("entity").agg(F.count("*").alias("e_df")).where(F.col("e_df") >= SUPPORT)
     seen = _contexts(base).join(e_df.select("entity"), "entity", "left_semi")
@@ -147,7 +169,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, text_col: str) -> DataFra
 
 def _term_spans(base: DataFrame, told: DataFrame) -> DataFrame:
     """``(rid, term_spans)`` of rows that hold an entity and a term that tells on it."""
-    entities = F.concat(*(F.transform(k, lambda s, k=k: F.concat(F.lit(f"{k}:"), F.lower(s["value"]))) for k in KINDS))
+    entities = _entities()
     rows = base.where("has")
     has = rows.select("rid", F.explode(F.array_distinct(entities)).alias("entity")).join(told.select("entity").distinct(), "entity", "left_semi")
     words = rows.join(has.select("rid").distinct(), "rid", "left_semi").select("rid", F.explode(_words(F.col("text"))).alias("term"))
@@ -188,7 +210,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     told = disclosing_terms(docs, base, text_col)
     spans = base.where("has").join(_term_spans(base, told), "rid", "left")
     gone = told.where("action = 'remove'").select("term").distinct().withColumn("gone", F.lit(True))
-    marks = F.concat(*(F.transform(F.coalesce(k, F.array().cast("array<struct<start:int,end:int,value:string>>")), lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("mark"), F.lower(s["value"]).alias("term"))) for k in (*KINDS, "term")))
+    marks = F.concat(*map(_marks, (*KINDS, "term")))
     each = spans.select("rid", F.explode(marks).alias("m")).select("rid", "m.*").join(gone, "term", "left")
     each = each.withColumn("mark", F.when((F.col("mark") == "[TERM]") & F.coalesce("gone", F.lit(False)), "").otherwise(F.col("mark")))
     lists = each.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "mark"))).alias("marks"))
