@@ -213,6 +213,18 @@ def score_rows(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def _kept(batches: Iterator[pa.RecordBatch], model: Model, at: int) -> Iterator[pa.RecordBatch]:
+    score = model.scorer()
+    for batch in batches:
+        yield batch.filter(pa.array([score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+
+
+def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``model`` does not predict to be toxic; no join and no shuffle."""
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(lambda b: _kept(b, model, at), docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learn from the labels outside the held-out fold and score every row of ``docs``.
 
