@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkspark.llm.caches import WordCache, claim, values
+
 #: Leaves of one block; a block that outgrows MOST_LEAVES has the tree rebuilt.
 LEAVES, MOST_LEAVES = 128, 1024
 #: A pre-token depends on no character further than this behind its end: one
@@ -39,7 +41,7 @@ class Counter:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.slow = regex.compile(PATTERN)
-        self.cache: dict[str, int] = {}
+        self.cache = WordCache(lambda piece: len(self.encoding.encode_ordinary(piece)))
 
     @classmethod
     def of(cls, path: str) -> Counter:
@@ -48,16 +50,14 @@ class Counter:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _missing(self, piece: str) -> int:
-        if len(self.cache) > 1_000_000:
-            self.cache.clear()
-        n = self.cache[piece] = len(self.encoding.encode_ordinary(piece))
-        return n
-
     def count(self, pieces: list[str]) -> list[int]:
         """Tokens of each pre-token."""
-        get, missing = self.cache.get, self._missing
-        return [get(p) or missing(p) for p in pieces]
+        return list(map(self.cache.__getitem__, pieces))
+
+    def leaves(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and tokens of each pre-token of a text."""
+        pieces = self.pattern_for(text).findall(text)
+        return np.fromiter(map(len, pieces), np.int64, len(pieces)), np.fromiter(map(self.cache.__getitem__, pieces), np.int64, len(pieces))
 
     def pattern_for(self, text: str):
         """The engine that can split ``text``."""
@@ -71,10 +71,7 @@ class CountTree:
         self.text, self.counter = text, counter
         self.pattern = counter.pattern_for(text)
         self.encoded_chars = self.encoded_leaves = 0
-        if leaves is None:
-            pieces = self.pattern.findall(text)
-            leaves = np.fromiter(map(len, pieces), np.int64, len(pieces)), np.array(counter.count(pieces), np.int64)
-        self._build(*leaves)
+        self._build(*(leaves or counter.leaves(text)))
 
     def _build(self, chars: np.ndarray, tokens: np.ndarray) -> None:
         m = max(1, -(-len(chars) // LEAVES))
@@ -188,11 +185,14 @@ def _unpack(b: bytes) -> np.ndarray:
 
 
 def _trees(batches: Iterator[pa.RecordBatch], vocab: str) -> Iterator[pa.RecordBatch]:
+    claim("edits")
     counter = Counter.of(vocab)
     for batch in batches:
-        trees = [CountTree(t, counter) for t in batch.column(1).to_pylist()]
-        leaves = [t.leaves() for t in trees]
-        new = [pa.array([t.tokens for t in trees], pa.int64()), *(pa.array([_pack(x[k]) for x in leaves], pa.binary()) for k in (0, 1))]
+        rows = []
+        for text in values(batch.column(1)):
+            chars, tokens = counter.leaves(text)
+            rows.append((int(tokens.sum()), _pack(chars), _pack(tokens)))
+        new = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new, batch.column(2)], names=["doc_id", "text", "tokens", "leaf_chars", "leaf_tokens", "edits"])
 
 
@@ -203,21 +203,42 @@ def build_trees(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(lambda b: _trees(b, vocab), TREES)
 
 
+def _edited(tree: CountTree, edits: list[dict] | None) -> CountTree:
+    for e in edits or []:
+        tree.edit(e["start"] or 0, e["end"] or 0, e["new"] or "")
+    return tree
+
+
+def _counts(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(7)], names=[c.split()[0] for c in COUNTS.split(", ")])
+
+
 def _apply(batches: Iterator[pa.RecordBatch], vocab: str, keep: bool) -> Iterator[pa.RecordBatch]:
     counter = Counter.of(vocab)
     for batch in batches:
         rows = []
-        for doc_id, text, before, chars, tokens, edits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            tree = CountTree(text, counter, (_unpack(chars), _unpack(tokens)))
-            for e in edits or []:
-                tree.edit(e["start"] or 0, e["end"] or 0, e["new"] or "")
-            if keep:
-                rows.append((doc_id, tree.text, tree.tokens, *map(_pack, tree.leaves()), None))
-            else:
-                rows.append((doc_id, before, tree.tokens, tree.leaf_count, tree.encoded_leaves, tree.encoded_chars, len(tree.text)))
-        names = ["doc_id", "text", "tokens", "leaf_chars", "leaf_tokens", "edits"] if keep else [c.split()[0] for c in COUNTS.split(", ")]
-        types = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), batch.column(5).type] if keep else [pa.int64()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+        for doc_id, text, before, chars, tokens, edits in zip(*map(values, batch.columns), strict=True):
+            tree = _edited(CountTree(text, counter, (_unpack(chars), _unpack(tokens))), edits)
+            rows.append((doc_id, tree.text, tree.tokens, *map(_pack, tree.leaves()), None) if keep else (doc_id, before, tree.tokens, tree.leaf_count, tree.encoded_leaves, tree.encoded_chars, len(tree.text)))
+        if keep:
+            types = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), batch.column(5).type]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["doc_id", "text", "tokens", "leaf_chars", "leaf_tokens", "edits"])
+        else:
+            yield _counts(rows)
+
+
+def _build_and_apply(batches: Iterator[pa.RecordBatch], vocab: str) -> Iterator[pa.RecordBatch]:
+    """Tree and edits of one document at a time, in one worker."""
+    claim("edits")
+    counter = Counter.of(vocab)
+    for batch in batches:
+        rows = []
+        for doc_id, text, edits in zip(*map(values, batch.columns), strict=True):
+            tree = CountTree(text or "", counter)
+            before = tree.tokens
+            _edited(tree, edits)
+            rows.append((doc_id, before, tree.tokens, tree.leaf_count, tree.encoded_leaves, tree.encoded_chars, len(tree.text)))
+        yield _counts(rows)
 
 
 def apply_edits(trees: DataFrame, vocab: str) -> DataFrame:
@@ -238,7 +259,7 @@ def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def count_edited(docs: DataFrame, vocab: str, edits_col: str = "edits", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token counts of every document before and after its edits; narrow, no shuffle.
+    """Token counts of every document before and after its edits; one narrow pass, no shuffle.
 
     Columns: doc_id, tokens_before, tokens_after, leaves, encoded_leaves and
     encoded_chars (what the edits made the tree encode again), text_chars.
@@ -247,4 +268,5 @@ def count_edited(docs: DataFrame, vocab: str, edits_col: str = "edits", id_col:
     beyond the text are moved to its end. Null ids and repeated rows are rows
     like others. Other columns are not read. An empty table gives no rows.
     """
-    return apply_edits(build_trees(docs, vocab, id_col, text_col, edits_col), vocab)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(edits_col).cast(EDITS).alias("edits"))
+    return rows.mapInArrow(lambda b: _build_and_apply(b, vocab), COUNTS)
