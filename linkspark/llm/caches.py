@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 from typing import Any
 
 #: Entries of one cache; a worker's caches stay within some tens of MB.
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
 
 _owner: list[object] = [None]
 _all: list[dict] = []
@@ -34,6 +35,20 @@ def claim(owner: str) -> None:
         for cache in _all:
             cache.clear()
         _owner[0] = owner
+        _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def values(column: Any) -> Iterator[Any]:

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkspark.llm.caches import values
 from linkspark.llm.tally import chunks_of, total
 from linkspark.plans.staging import stage
 
@@ -185,7 +186,7 @@ def _seeded(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch
     counts = np.zeros(len(ix.vocab) + 1, np.int64)
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc_id, text in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
             ids = ix.words(text)
             counts += np.bincount(ids, minlength=len(counts))
             seeded = len(seed_hits(ix, ids)[0]) > 0
@@ -200,7 +201,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], index, rare: dict[int, np.ndarra
     ix = index.value
     for batch in batches:
         rows = []
-        for doc_id, tkey, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc_id, tkey, blob in zip(*map(values, batch.columns), strict=True):
             found = []
             if blob is not None:
                 ids = np.frombuffer(zlib.decompress(blob), np.int32).astype(np.int64)

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkspark.llm.caches import WordCache, claim, values
 from linkspark.llm.tally import chunks_of, total
 from linkspark.operators.components import connected_components
 from linkspark.plans.staging import broadcast_if_small, stage
@@ -37,17 +38,7 @@ _WORD = re.compile(r"\w+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Hashes(dict):
-    """Word to 64-bit hash, kept per worker and emptied when it grows too large."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
+_hashes = WordCache(xxhash.xxh3_64_intdigest, most=400_000)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -159,10 +150,11 @@ _UNITS = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("ukey", pa.bin
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unit keys of all rows, then this task's slot counts in compressed chunks."""
+    claim("near")
     counts = np.zeros(1 << SLOT_BITS, np.int64)
     for batch in batches:
         keys = []
-        for text in batch.column(2).to_pylist():
+        for text in values(batch.column(2)):
             words = word_hashes(text)
             keys.append(unit_key(words, text))
             counts[np.unique(words >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] += 1
@@ -180,9 +172,10 @@ def damped_idf(units: DataFrame, rows: int) -> np.ndarray:
 
 
 def _bands(batches: Iterator[pa.RecordBatch], idf) -> Iterator[pa.RecordBatch]:
+    claim("near")
     for batch in batches:
         keys, buckets = [], []
-        for text in batch.column(0).to_pylist():
+        for text in values(batch.column(0)):
             words = word_hashes(text)
             if len(words):
                 keys.append(unit_key(words, text))
@@ -192,9 +185,10 @@ def _bands(batches: Iterator[pa.RecordBatch], idf) -> Iterator[pa.RecordBatch]:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch], idf) -> Iterator[pa.RecordBatch]:
+    claim("near")
     for batch in batches:
         out = []
-        for text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text, want in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
             words = word_hashes(text)
             if unit_key(words, text) == want:
                 h, w = shingles(words, idf.value)

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkspark.llm.caches import WordCache, claim, values
 from linkspark.llm.toxic import held_out
 from linkspark.plans.staging import stage
 
@@ -35,17 +36,12 @@ def shape_of(token: str) -> str:
     return token
 
 
-class _Slots(dict):
-    """Token to its hashed features: the word itself, its shape, and its length class."""
+def slots_of(token: str) -> tuple[int, int, int]:
+    """A token's hashed features: the word itself, its shape, and its length class."""
+    return _slot(f"t:{token.lower()}"), _slot(f"s:{shape_of(token)}"), _slot(f"l:{min(len(token), 20)}")
 
-    def __missing__(self, token: str) -> tuple[int, int, int]:
-        if len(self) > 500_000:
-            self.clear()
-        f = self[token] = (_slot(f"t:{token.lower()}"), _slot(f"s:{shape_of(token)}"), _slot(f"l:{min(len(token), 20)}"))
-        return f
 
-
-_slots = _Slots()
+_slots = WordCache(slots_of, most=60_000)
 
 
 def _marks(tokens: list[str], text: str) -> list[int]:
@@ -126,8 +122,9 @@ def ordinal_fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, l
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("ordinal")
     for batch in batches:
-        found = [features(t) for t in batch.column(0).to_pylist()]
+        found = [features(t) for t in values(batch.column(0))]
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], names=["grade", "slots", "vals"])
 
 
@@ -144,23 +141,14 @@ def fit(docs: DataFrame, ratings: DataFrame, levels: int, grade_col: str = "grad
 
 
 def _grade(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    claim("ordinal-grade")
     model = shared.value
     w = model.weights
 
-    class Sums(dict):
-        """Token to the sum of its weights, once per worker and task."""
-
-        def __missing__(self, token: str) -> float:
-            if len(self) > 1_000_000:
-                self.clear()
-            a, b, c = _slots[token]
-            s = self[token] = w[a] + w[b] + w[c]
-            return s
-
-    sums = Sums()
+    sums = WordCache(lambda token: float(sum(w[s] for s in slots_of(token))), shared=False)
     for batch in batches:
         scores = np.zeros(batch.num_rows)
-        for i, text in enumerate(batch.column(2).to_pylist()):
+        for i, text in enumerate(values(batch.column(2))):
             tokens = (text or "").split()
             scores[i] = sum(map(sums.__getitem__, tokens)) / max(1, len(tokens)) + w[_marks(tokens, text or "")].sum()
         tails = model.tails(scores)

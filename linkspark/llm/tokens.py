@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from struct import pack
 
-import numpy as np
+from linkspark.llm.caches import WordCache
 
 #: Letters of the range U+0000 to U+017F after lower-casing; its other
 #: characters are digits, white space or symbols (fixed values).
@@ -15,7 +16,6 @@ _PRE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 #: Anything whose case mapping, white-space class or letter class could differ
 #: between regex engines goes to the tokenizer itself.
 _PLAIN = re.compile("[\t\n\r\x20-~\xa1-įı-ž–—‘’“”…€]*")
-_CACHE_WORDS = 1_000_000
 
 
 class WordBpe:
@@ -28,7 +28,7 @@ class WordBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.cache = WordCache(self._encode, most=600_000)
 
     @classmethod
     def of(cls, path: str) -> WordBpe:
@@ -38,13 +38,8 @@ class WordBpe:
         return cls._open[path]
 
     def _encode(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _missing(self, word: str) -> bytes:
-        if len(self.cache) >= _CACHE_WORDS:
-            self.cache.clear()
-        ids = self.cache[word] = self._encode(word)
-        return ids
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str) -> bytes:
         """Ids of the whole text; equal to the tokenizer's own for every input."""
@@ -52,5 +47,4 @@ class WordBpe:
             return b""
         if not _PLAIN.fullmatch(text) or any(s in text for s in self.special) or not unicodedata.is_normalized("NFC", text):
             return self._encode(text)
-        get, missing = self.cache.get, self._missing
-        return b"".join([get(w) or missing(w) for w in _PRE.findall(text.lower())])
+        return b"".join(map(self.cache.__getitem__, _PRE.findall(text.lower())))

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkspark.llm.caches import WordCache, claim, values
 from linkspark.plans.staging import stage
 
 #: Bounded learning sample: confirmed toxic documents and unlabelled ones.
@@ -35,15 +36,7 @@ def features_of(word: str) -> tuple[int, ...]:
     return (xxhash.xxh3_64_intdigest(word) >> shift, *(xxhash.xxh3_64_intdigest(f"^{n}:{word[:n]}") >> shift for n in PREFIXES if len(word) >= n))
 
 
-class _Features(dict):
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 500_000:
-            self.clear()
-        f = self[word] = features_of(word)
-        return f
-
-
-_features = _Features()
+_features = WordCache(features_of, most=60_000)
 
 
 def document_features(text: str | None) -> set[int]:
@@ -117,14 +110,7 @@ class Model:
         """Scores of whole texts; each word's active features are looked up once per worker."""
         known = dict(zip(self.ids.tolist(), self.weights.tolist(), strict=True))
 
-        class Active(dict):
-            def __missing__(self, word: str) -> tuple[int, ...]:
-                if len(self) > 1_000_000:
-                    self.clear()
-                f = self[word] = tuple(x for x in features_of(word) if x in known)
-                return f
-
-        active = Active()
+        active = WordCache(lambda word: tuple(x for x in features_of(word) if x in known), shared=False)
 
         def score(text: str | None) -> float:
             on = {f for w in set(_WORD.findall((text or "").lower())) if (fs := active[w]) for f in fs}
@@ -135,14 +121,15 @@ class Model:
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: in how many positive and unlabelled texts each feature occurs."""
+    claim("toxic")
     seen: dict[int, list[int]] = {}
     for batch in batches:
-        for text, p, u in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for text, p, u in zip(*map(values, batch.columns), strict=True):
             for f in document_features(text):
                 n = seen.setdefault(f, [0, 0])
                 n[0] += p
                 n[1] += u
-        if len(seen) > 2_000_000:
+        if len(seen) > 100_000:
             yield _counts(seen)
             seen = {}
     yield _counts(seen)
@@ -155,7 +142,7 @@ def _counts(seen: dict[int, list[int]]) -> pa.RecordBatch:
 def _active(batches: Iterator[pa.RecordBatch], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
     index = {f: i for i, f in enumerate(ids.tolist())}
     for batch in batches:
-        found = [sorted(index[f] for f in document_features(t) if f in index) for t in batch.column(0).to_pylist()]
+        found = [sorted(index[f] for f in document_features(t) if f in index) for t in values(batch.column(0))]
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.int32()))], names=["p", "u", "active"])
 
 
@@ -200,9 +187,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    claim("toxic-score")
     score = model.scorer()
     for batch in batches:
-        scores = pa.array([score(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.float64())
+        scores = pa.array([score(t) for t in values(batch.column(batch.num_columns - 1))], pa.float64())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*batch.schema.names[:-1], "score"])
 
 
@@ -214,9 +202,10 @@ def score_rows(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def _kept(batches: Iterator[pa.RecordBatch], model: Model, at: int) -> Iterator[pa.RecordBatch]:
+    claim("toxic-score")
     score = model.scorer()
     for batch in batches:
-        yield batch.filter(pa.array([score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+        yield batch.filter(pa.array([score(t) < 0.5 for t in values(batch.column(at))], pa.bool_()))
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkspark.llm.caches import values
 from linkspark.plans.staging import broadcast_if_small, new_folder, stage
 
 #: A file is closed at this size; ranges of one file never span two.
@@ -87,7 +88,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
     out, name, at = None, "", 0
     for batch in batches:
         rows = []
-        for page_id, url, html, refers, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for page_id, url, html, refers, revisit in zip(*map(values, batch.columns), strict=True):
             payload = (html or "").encode()
             digest = digest_of(payload)
             if out is None:
