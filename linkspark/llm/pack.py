@@ -8,7 +8,7 @@ pieces then take their places by rank within their length.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkspark.llm.caches import claim, values
 from linkspark.llm.tokens import WordBpe
 from linkspark.plans.staging import stage
 
@@ -25,7 +26,7 @@ END_ID = (1).to_bytes(4, "little")
 #: Salt of the ranks within one length, so that a hot length is numbered in parallel.
 RANK_BUCKETS = 256
 #: Nodes that the branch-and-bound search may visit; the incumbent stands after that.
-SEARCH_NODES = 20_000
+SEARCH_NODES = 12_000
 #: Fillings tried per node, fullest first.
 FILLINGS = 24
 
@@ -89,96 +90,125 @@ def best_fit(counts: dict[int, int], capacity: int) -> Packing:
     return done + [b for bins in open_bins.values() for b in bins]
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, limit: int) -> list[Pattern]:
-    """Undominated fillings of ``room``, fullest first.
+def fillings(asc: list[int], counts: dict[int, int], room: int, limit: int) -> list[Pattern]:
+    """Undominated fillings of ``room`` with free items, fullest first.
 
-    Sizes come in descending order. A filling is maximal (nothing left fits
-    on top) and no item in it can be swapped for a larger free one; such a
-    swap would dominate it. At most ``limit`` are kept.
+    ``asc`` lists the sizes in ascending order. A filling is maximal (nothing
+    left fits on top) and no item in it can be swapped for a larger free one;
+    such a swap would dominate it. Larger items are tried first, and at most
+    ``limit`` fillings are kept.
     """
     found: list[tuple[int, Pattern]] = []
     budget = 40 * limit
 
-    def grow(i: int, left: int, taken: Pattern) -> None:
+    def dominated(taken: Pattern, left: int) -> bool:
+        for x in set(taken):
+            at = bisect_right(asc, x)
+            while at < len(asc) and asc[at] <= x + left:
+                if counts[asc[at]] > taken.count(asc[at]):
+                    return True
+                at += 1
+        return False
+
+    def grow(top: int, left: int, taken: Pattern) -> None:
+        """Add items of the sizes ``asc[:top]``."""
         nonlocal budget
         budget -= 1
-        if budget < 0:
+        top = min(top, bisect_right(asc, left))
+        if budget < 0 or len(found) >= limit and found[-1][0] == 0:
             return
-        while i < len(sizes) and sizes[i] > left:
-            i += 1
-        if i == len(sizes):
-            used = Counter(taken)
-            if not any(counts[y] > used[y] and y - x <= left for x in used for y in sizes if x < y):
+        if not top:
+            if not dominated(taken, left):
                 found.append((left, taken))
             return
-        x = sizes[i]
-        most = min(counts[x], left // x)
-        for k in range(most, -1, -1):
-            if k == 0 and i + 1 == len(sizes):
-                break
-            grow(i + 1, left - k * x, taken + (x,) * k)
-            if found and found[-1][0] == 0 and len(found) >= limit:
+        x = asc[top - 1]
+        for k in range(min(counts[x], left // x), -1, -1):
+            grow(top - 1, left - k * x, taken + (x,) * k)
+            if budget < 0 or len(found) >= limit:
                 return
 
-    grow(0, room, ())
-    if not found:
-        found = [(room, ())]
-    return [p for _, p in sorted(found, key=lambda f: (f[0], len(f[1])))[:limit]]
+    grow(len(asc), room, ())
+    return [p for _, p in sorted(found, key=lambda f: (f[0], len(f[1])))] or [()]
+
+
+class _Rest:
+    """Items that are left, with the sizes in ascending order; changes are undone in reverse."""
+
+    def __init__(self, counts: dict[int, int]) -> None:
+        self.counts, self.asc = dict(counts), sorted(counts)
+
+    def change(self, x: int, by: int) -> None:
+        now = self.counts.get(x, 0) + by
+        at = bisect_left(self.asc, x)
+        there = at < len(self.asc) and self.asc[at] == x
+        if now:
+            self.counts[x] = now
+            if not there:
+                self.asc.insert(at, x)
+        else:
+            self.counts.pop(x, None)
+            if there:
+                self.asc.pop(at)
+
+    def completions(self, capacity: int) -> list[Pattern]:
+        """Bins around the largest item."""
+        big = self.asc[-1]
+        self.change(big, -1)
+        out = [(big, *f) for f in fillings(self.asc, self.counts, capacity - big, FILLINGS)]
+        self.change(big, 1)
+        return out
 
 
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> Packing:
     """The fewest bins found for items given as ``{length: count}``.
 
     Best-fit decreasing gives the first incumbent. If the lower bound does
-    not prove it optimal, bins are completed around the largest item left:
-    each undominated filling is applied as often as its items allow, branches
-    whose waste so far rules out fewer bins than the incumbent are cut, and
-    best fit on what is left gives further incumbents.
+    not prove it optimal, bins are completed around the largest item left,
+    depth first: each undominated filling is applied as often as its items
+    allow (or once, while few items are left), branches whose waste so far
+    rules out fewer bins than the incumbent are cut, and best fit on what is
+    left gives further incumbents.
     """
     counts = {x: c for x, c in counts.items() if c}
     best = best_fit(counts, capacity)
     size = sum(n for _, n in best)
-    bound = lower_bound(counts, capacity)
-    total = sum(x * c for x, c in counts.items())
-    left_nodes = nodes
-
-    def search(rest: dict[int, int], made: Packing, bins: int, waste: int) -> bool:
-        """True once an incumbent meets the bound or the nodes are spent."""
-        nonlocal best, size, left_nodes
-        left_nodes -= 1
-        if not rest:
-            if bins < size:
-                best, size = list(made), bins
-            return size <= bound
-        # with size - 1 bins, waste can reach this and no more
-        if waste > (size - 1) * capacity - total:
-            return False
-        if left_nodes % 16 == 0:
-            tail = best_fit(rest, capacity)
-            if bins + sum(n for _, n in tail) < size:
-                best, size = made + tail, bins + sum(n for _, n in tail)
+    bound, total = lower_bound(counts, capacity), sum(x * c for x, c in counts.items())
+    if size <= bound:
+        return best
+    rest, made, bins, waste = _Rest(counts), [], 0, 0
+    open_ = [iter(rest.completions(capacity))]
+    visited = 0
+    while open_:
+        pattern = next(open_[-1], None)
+        if pattern is None or visited >= nodes:
+            open_.pop()
+            if visited >= nodes or not made:
+                break
+            pattern, times = made.pop()
+            for x in pattern:
+                rest.change(x, times)
+            bins, waste = bins - times, waste - times * (capacity - sum(pattern))
+            continue
+        visited += 1
+        need = Counter(pattern)
+        times = min(rest.counts[x] // k for x, k in need.items())
+        lost = capacity - sum(pattern)
+        if lost:  # wasteful bins are not repeated blindly
+            times = max(1, min(times, times // 2))
+        if waste + times * lost > (size - 1) * capacity - total:
+            continue
+        for x, k in need.items():
+            rest.change(x, -k * times)
+        made.append((pattern, times))
+        bins, waste = bins + times, waste + times * lost
+        tail = best_fit(rest.counts, capacity) if visited % 128 == 0 and rest.asc else []
+        if not rest.asc or tail:
+            now = bins + sum(n for _, n in tail)
+            if now < size:
+                best, size = made + tail, now
                 if size <= bound:
-                    return True
-        if left_nodes <= 0:
-            return True
-        big = max(rest)
-        free = {x: c - (x == big) for x, c in rest.items() if c - (x == big)}
-        for filling in fillings(sorted(free, reverse=True), free, capacity - big, FILLINGS):
-            pattern = (big, *filling)
-            need = Counter(pattern)
-            times = min(rest[x] // k for x, k in need.items())
-            after = {x: c - times * need.get(x, 0) for x, c in rest.items()}
-            after = {x: c for x, c in after.items() if c}
-            lost = times * (capacity - sum(pattern))
-            if search(after, [*made, (pattern, times)], bins + times, waste + lost):
-                return True
-        return False
-
-    if size > bound:
-        import sys
-
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-        search(counts, [], 0, 0)
+                    return best
+        open_.append(iter(rest.completions(capacity) if rest.asc else []))
     return best
 
 
@@ -188,10 +218,11 @@ PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 l
 
 
 def _cut(batches: Iterator[pa.RecordBatch], vocab: str, capacity: int) -> Iterator[pa.RecordBatch]:
+    claim("pack")
     bpe, schema = WordBpe.of(vocab), pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     for batch in batches:
         rows = []
-        for doc_id, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc_id, row, text in zip(*map(values, batch.columns), strict=True):
             ids = bpe.ids(text or "") + END_ID
             for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
