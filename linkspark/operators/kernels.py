@@ -340,8 +340,10 @@ class Tree:
         best = (1e-12, -1, 0.0)
         n, pos = len(at), y[at].sum()
         whole = 2 * pos * (n - pos) / n
-        cols = np.arange(x.shape[1]) if self.features is None else self.rnd.permutation(x.shape[1])[: self.features]
-        for f in cols:
+        cols = np.arange(x.shape[1]) if self.features is None else self.rnd.permutation(x.shape[1])
+        for tried, f in enumerate(cols):
+            if self.features is not None and tried >= self.features and best[1] >= 0:
+                break  # further features are only drawn while none splits
             order = np.argsort(x[at, f], kind="stable")
             v, c = x[at[order], f], np.cumsum(y[at[order]])
             k = np.flatnonzero(v[1:] > v[:-1]) + 1

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspark.plans.prefix import running
+from linkspark.plans.staging import stage
 
 # --- aggregated scores ----------------------------------------------------------
 
@@ -94,7 +95,7 @@ def histogram_threshold(scores: DataFrame, score: str, kind: str = "otsu") -> Da
     kept; between two of them the variance does not change. Null if no cut
     splits the scores.
     """
-    table = scores.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("s"))
+    table = stage(scores.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("s")), "scores")
     n = table.count()
     at = F.least(F.floor(F.col("s") * n), F.lit(n - 1))
     hist = table.where("s between 0 and 1").groupBy(at.alias("bin")).agg(F.count("*").alias("n")).withColumn("w", F.col("n") * F.col("bin"))
