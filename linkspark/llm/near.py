@@ -87,8 +87,7 @@ def _gamma2() -> np.ndarray:
 
 
 _R = _gamma2().astype(np.float32)
-_INVERSE_R, _LN_C = (1 / _R).astype(np.float32), np.log(_R).astype(np.float32)
-_BETA = ((np.arange(65536) + 0.5) / 65536).astype(np.float32)
+_LN_C = np.log(_R)
 _SEEDS = _mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * _M1)
 
 
@@ -101,23 +100,27 @@ def sample(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     equal to their weighted Jaccard similarity.
     """
     best, value = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint64)
-    field = np.uint64(0xFFFF)
+    every = np.arange(SAMPLES)
     for at in range(0, len(h), SAMPLE_CHUNK):
         part = h[at : at + SAMPLE_CHUNK]
-        z = (part[None, :] ^ _SEEDS[:, None]) * _M1
+        z = part[None, :] ^ _SEEDS[:, None]
+        z *= _M1
         z ^= z >> np.uint64(32)
         z *= _M2
-        i = (z >> np.uint64(48)).astype(np.int32)
-        r, beta = _R.take(i), _BETA.take((z >> np.uint64(16) & field).astype(np.int32))
-        t = _INVERSE_R.take(i)
-        t *= np.log(w[at : at + SAMPLE_CHUNK])[None, :]
+        field = z.view(np.uint16).reshape(SAMPLES, len(part), 4)  # the upper three are uniform draws
+        r = _R[field[:, :, 3]]
+        beta = field[:, :, 1].astype(np.float32)
+        beta += np.float32(0.5)
+        beta *= np.float32(1 / 65536)
+        t = np.log(w[at : at + SAMPLE_CHUNK]) / r
         t += beta
         np.floor(t, out=t)
-        a = _LN_C.take((z >> np.uint64(32) & field).astype(np.int32))
-        a -= r * (t - beta)
-        a -= r
+        a = _LN_C[field[:, :, 2]]
+        beta -= t
+        beta -= np.float32(1)
+        beta *= r
+        a += beta
         low = a.argmin(1)
-        every = np.arange(SAMPLES)
         found = a[every, low]
         better = found < best
         best[better] = found[better]
