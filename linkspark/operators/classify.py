@@ -86,12 +86,17 @@ def train(training: DataFrame, name: str = "rf", tune: int = 0, folds: int = 3,
     return found
 
 
+def _second(probability: Column) -> Column:
+    """Probability of a match; 0 if the training set had none."""
+    return F.coalesce(F.get(probability, F.lit(1)), F.lit(0.0))
+
+
 def apply(pairs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
     """Add ``prediction`` (boolean) and ``confidence`` to pairs."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     out = model.transform(pairs.withColumn("vec__", array_to_vector("features")).withColumnRenamed("features", "features__").withColumnRenamed("vec__", "features"))
-    p = vector_to_array("calibrated")[1] if "calibrated" in out.columns else vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
+    p = _second(vector_to_array("calibrated")) if "calibrated" in out.columns else _second(vector_to_array("probability")) if "probability" in out.columns else F.col("prediction")
     return out.select(*(F.col("features__").alias("features") if c == "features" else F.col(c) for c in pairs.columns), (p >= threshold).alias("prediction_"), p.alias("confidence")).withColumnRenamed("prediction_", "prediction")
 
 

@@ -75,7 +75,7 @@ def agg_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(scores.sources_of(n),)], "n int")
 
 
-@query("AGG-23_task_summary", _VECTOR_SQL + f", {_GOLD} SELECT (SELECT count(*) FROM part) AS records_source, (SELECT count(*) FROM part) AS records_target, count(*) AS n_pairs, count(g.id_a) AS matches, count(*) - count(g.id_a) AS non_matches, round(count(g.id_a) / count(*), 6) AS ratio_pos, CAST(5 AS INTEGER) AS n_features, 1.0 AS avg_density FROM v LEFT JOIN gold g ON g.id_a = v.id_a AND g.id_b = v.id_b")
+@query("AGG-23_task_summary", _VECTOR_SQL + f", {_GOLD} SELECT (SELECT count(*) FROM part) AS records_source, (SELECT count(*) FROM part) AS records_target, count(*) AS n_pairs, count(g.id_a) AS matches, count(*) - count(g.id_a) AS non_matches, round(count(g.id_a) / count(*), 6) AS ratio_pos, CAST(5 AS INTEGER) AS n_features, CAST(1 AS DOUBLE) AS avg_density FROM v LEFT JOIN gold g ON g.id_a = v.id_a AND g.id_b = v.id_b")
 def agg_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary of the part pairs as one matching task."""
     p = table(spark, sf_dir, "part")
@@ -106,7 +106,7 @@ def edges_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("tp", "fp", "fn", *(F.round(k, 6).alias(k) for k in ("precision", "recall", "f1", "f_star")))
 
 
-@query("STA-06_missing_convention", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 AND p_partkey % 3 = 0 THEN 0.06 WHEN p_size % 3 = 0 OR p_partkey % 3 = 0 THEN 0.04 ELSE 0.5 END AS ks, CASE WHEN p_size % 3 = 0 AND p_partkey % 3 = 0 THEN 0.9 WHEN p_size % 3 = 0 OR p_partkey % 3 = 0 THEN 0.2 ELSE 0.5 END AS other FROM part")
+@query("STA-06_missing_convention", "SELECT p_partkey, CAST(CASE WHEN p_size % 3 = 0 AND p_partkey % 3 = 0 THEN 0.06 WHEN p_size % 3 = 0 OR p_partkey % 3 = 0 THEN 0.04 ELSE 0.5 END AS DOUBLE) AS ks, CAST(CASE WHEN p_size % 3 = 0 AND p_partkey % 3 = 0 THEN 0.9 WHEN p_size % 3 = 0 OR p_partkey % 3 = 0 THEN 0.2 ELSE 0.5 END AS DOUBLE) AS other FROM part")
 def missing_convention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed results for empty sides."""
     a, b = F.col("p_size") % 3, F.col("p_partkey") % 3

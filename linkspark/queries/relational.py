@@ -462,7 +462,7 @@ def eva_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("leader", "tp", "fp", "fn", *(F.round(k, 6).alias(k) for k in ("precision", "recall", "f1", "f_star")))
 
 
-@query("EVA-10_unsupervised", _scored_sql() + "SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(tp / (tp + fp + fn), 6) AS f_star FROM (SELECT count(*) FILTER (score >= 0.6 AND label = 1) AS tp, count(*) FILTER (score >= 0.6 AND label = 0) AS fp, count(*) FILTER (score < 0.6 AND label = 1) AS fn FROM sc)")
+@query("EVA-10_unsupervised", _scored_sql() + "SELECT tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(coalesce(tp / nullif(tp + fp + fn, 0), 0), 6) AS f_star FROM (SELECT count(*) FILTER (score >= 0.6 AND label = 1) AS tp, count(*) FILTER (score >= 0.6 AND label = 0) AS fp, count(*) FILTER (score < 0.6 AND label = 1) AS fn FROM sc)")
 def eva_unsupervised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of labels by a fixed threshold."""
     q = evaluation.unsupervised_quality(_mean_scores(spark, sf_dir).select((F.col("label") == 1).alias("label"), (F.col("score") >= 0.6).alias("unsup_label")))

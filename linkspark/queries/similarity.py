@@ -377,7 +377,7 @@ def clean_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", units.clean_number(F.col("o_orderpriority")).alias("n"))
 
 
-@query("SCL-16_disagreement", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_partkey % 2 = 0 THEN CASE WHEN p_size % 2 = 0 THEN 0.0 END WHEN p_size % 2 = 1 AND p_partkey % 2 = 1 THEN 0.0 WHEN (p_partkey % 2) = (p_partkey % 2) THEN 1.0 END AS score FROM part")
+@query("SCL-16_disagreement", "SELECT p_partkey, CAST(p_size % 2 <> p_partkey % 2 AS DOUBLE) AS score FROM part")
 def disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes of a learner and of two that agree with each other."""
     k, z = (F.col("p_partkey") % 2).cast("int"), (F.col("p_size") % 2).cast("int")

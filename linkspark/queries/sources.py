@@ -45,7 +45,7 @@ def _json_graph(spark: SparkSession, sf_dir: str) -> str:
     return base
 
 
-@query("SRC-05_json_graph", "SELECT CAST(s_nationkey AS VARCHAR) AS u, CAST(s_suppkey % 40 AS VARCHAR) AS v, 0.5 AS sim FROM supplier WHERE s_suppkey % 40 < 25")
+@query("SRC-05_json_graph", "SELECT CAST(s_nationkey AS VARCHAR) AS u, CAST(s_suppkey % 40 AS VARCHAR) AS v, CAST(0.5 AS DOUBLE) AS sim FROM supplier WHERE s_suppkey % 40 < 25")
 def src_json_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON graph folder; edges with an unknown end go."""
     return graphs.read_graph(spark, _json_graph(spark, sf_dir))[1]

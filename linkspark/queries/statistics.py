@@ -58,7 +58,7 @@ def psi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dist.psi(*_inputs(spark, sf_dir)).select("task_a", "task_b", "feature", F.round("psi", 5).alias("psi"), F.round("psi_scaled", 6).alias("psi_scaled"))
 
 
-@query("STA-05_one_sided", "SELECT 'a' AS task_a, 'b' AS task_b, 1 AS feature, -2.0 AS stat")
+@query("STA-05_one_sided", "SELECT 'a' AS task_a, 'b' AS task_b, CAST(1 AS INTEGER) AS feature, CAST(-2 AS DOUBLE) AS stat")
 def one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A feature that only one of two tasks has."""
     p = table(spark, sf_dir, "part")
