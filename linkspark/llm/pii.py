@@ -25,11 +25,11 @@ PATTERNS = {
 #: What must be in a text for a pattern to match at all.
 _HINT = {"email": "@", "ip": ".", "phone": "+"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Characters of context on each side of an entity, within its line.
+#: Characters on each side of an entity, within its line, that tell two contexts in one row apart.
 CONTEXT = 100
-#: A term is told on if its pointwise mutual information with an entity is at
-#: least DISCLOSURE of the entity's information content, from SUPPORT contexts
-#: that differ.
+#: A term is told on if its pointwise mutual information with an entity, counted
+#: over whole rows, is at least DISCLOSURE of the entity's information content,
+#: from SUPPORT rows or contexts that differ.
 DISCLOSURE, SUPPORT = 0.9, 2
 TERM_LETTERS = 3
 
@@ -124,8 +124,15 @@ def find(docs: DataFrame, id_col: str, text_col: str, all_texts: bool = False) -
     return stage(rows if all_texts else rows.withColumn("text", F.when(F.col("has"), F.col("text"))), "pii-base")
 
 
+def _free(text: Column) -> Column:
+    """Text without entities, which are no terms."""
+    for kind in KINDS:
+        text = F.regexp_replace(text, PATTERNS[kind], " ")
+    return text
+
+
 def _contexts(base: DataFrame) -> DataFrame:
-    """``(rid, entity, ctx, term)``: the words near each entity in its line."""
+    """``(entity, ctx, term)``: the words near each entity in its line."""
     spans = _entities(spans=True)
     each = base.where("has").select("rid", "text", F.explode(spans).alias("s")).select("rid", "text", "s.*")
     first = F.greatest(F.col("start") - CONTEXT, F.lit(0))
@@ -134,33 +141,49 @@ def _contexts(base: DataFrame) -> DataFrame:
     after = F.substring("text", F.col("end") + 1, F.lit(CONTEXT))
     after = F.when(F.length(after) == CONTEXT, F.regexp_replace(after, r"[\p{L}\p{N}]+$", "")).otherwise(after)
     near = F.concat(F.regexp_extract(before, r"[^\n]*$", 0), F.lit(" | "), F.regexp_extract(after, r"^[^\n]*", 0))
-    for kind in KINDS:  # other entities are no terms
-        near = F.regexp_replace(near, PATTERNS[kind], " ")
-    near = each.select("rid", "entity", near.alias("near"))
-    return near.select("rid", "entity", F.xxhash64("near").alias("ctx"), F.explode(_words(F.col("near"))).alias("term"))
+    near = each.select("entity", _free(near).alias("near"))
+    return near.select("entity", F.xxhash64("near").alias("ctx"), F.explode(_words(F.col("near"))).alias("term"))
+
+
+def _together(base: DataFrame, shared: DataFrame) -> DataFrame:
+    """``(entity, term, both, differ)``: rows that hold both, anywhere, and whether two of these rows differ in their texts.
+
+    Counts are combined before they are shuffled by entity and term, so an
+    entity or a word that many rows hold does not meet in one task.
+    """
+    rows = base.where("has").select(F.array_distinct(_entities()).alias("entities"), _free(F.lower("text")).alias("free"))
+    rows = rows.select("entities", F.xxhash64("free").alias("evidence"), _words(F.col("free")).alias("words"))
+    each = rows.select("words", "evidence", F.explode("entities").alias("entity")).join(shared, "entity", "left_semi")
+    pairs = each.select("entity", "evidence", F.explode("words").alias("term")).groupBy("entity", "term")
+    counted = pairs.agg(F.count("*").alias("both"), F.min("evidence").alias("low"), F.max("evidence").alias("high"))
+    return counted.select("entity", "term", "both", (F.col("low") != F.col("high")).alias("differ"))
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, text_col: str) -> DataFrame:
     """``(entity, term, action)`` of the terms above the disclosure threshold, staged.
 
     With n rows, df(e) of them with the entity, df(t) with the term and n(t, e)
-    with both in one context, PMI = ln(n n(t, e) / (df(t) df(e))) and
-    IC = ln(n / df(e)); told on if PMI >= DISCLOSURE * IC. A term never seen
-    without the entity is removed, others are generalised.
+    with both, near or far, PMI = ln(n n(t, e) / (df(t) df(e))) and
+    IC = ln(n / df(e)); told on if PMI >= DISCLOSURE * IC. The evidence must
+    differ: two rows with other texts, or two contexts of the entity. A term
+    never seen without the entity is removed, others are generalised.
     """
     entities = _entities()
     of_rows = base.where("has").select("rid", F.explode(F.array_distinct(entities)).alias("entity"))
-    e_df = of_rows.groupBy("entity").agg(F.count("*").alias("e_df")).where(F.col("e_df") >= SUPPORT)
-    seen = _contexts(base).join(e_df.select("entity"), "entity", "left_semi")
-    in_ctx = seen.groupBy("entity", "term", "ctx").agg(F.count("*").alias("k")).groupBy("entity", "term").agg(F.count("*").alias("ctxs")).where(F.col("ctxs") >= SUPPORT)
-    in_row = seen.groupBy("entity", "term", "rid").agg(F.count("*").alias("k")).groupBy("entity", "term").agg(F.count("*").alias("both"))
-    pairs = stage(in_ctx.join(in_row, ["entity", "term"]).join(e_df, "entity"), "pii-pairs")
+    e_df = stage(of_rows.groupBy("entity").agg(F.count("*").alias("e_df")).where(F.col("e_df") >= SUPPORT), "pii-entities")
+    e_df = broadcast_if_small(e_df, 128)
+    shared = e_df.select("entity")
+    seen = _contexts(base).join(shared, "entity", "left_semi")
+    in_ctx = seen.groupBy("entity", "term").agg((F.min("ctx") != F.max("ctx")).alias("near"))
+    supported = F.col("differ") | F.coalesce("near", F.lit(False))
+    pairs = stage(_together(base, shared).join(in_ctx, ["entity", "term"], "left").where(supported).select("entity", "term", "both").join(e_df, "entity"), "pii-pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit("").alias("action"))
     terms = stage(pairs.select("term").distinct(), "pii-terms")
     n = base.count()
     words = docs.select(F.explode(_words(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("term"))
     t_df = words.join(broadcast_if_small(terms, 64), "term", "left_semi").groupBy("term").agg(F.count("*").alias("t_df"))
+    t_df = broadcast_if_small(stage(t_df, "pii-term-counts"), 72)
     both, e, t = (F.col(c).cast("double") for c in ("both", "e_df", "t_df"))
     pmi, ic = F.log(F.lit(float(n)) * both / (t * e)), F.log(F.lit(float(n)) / e)
     told = pairs.join(t_df, "term").where((ic > 0) & (pmi >= DISCLOSURE * ic))
@@ -184,8 +207,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term)`` for every row of ``docs``.
 
     Offsets are code points of the whole text, ends exclusive. Base spans are
-    found by pattern; a word that hardly occurs without a protected entity
-    near it, in contexts that differ, adds a ``term`` span wherever it stands
+    found by pattern; a word that hardly occurs in rows without a protected
+    entity, from evidence that differs, adds a ``term`` span wherever it stands
     in a row with that entity (see ``disclosing_terms``). Rows without an
     entity get no spans. Null texts count as empty; null ids and repeated rows
     are rows like others. Other columns are not read. An empty table gives no

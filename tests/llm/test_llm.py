@@ -493,6 +493,22 @@ def test_terms_that_disclose(spark):
     assert clean[5] == text[5] and len(clean) == len(docs)
 
 
+def test_terms_far_from_their_entity_disclose(spark):
+    rnd = random.Random(12)
+    docs = [(i, words(rnd, 30, 50)) for i in range(200)]
+    docs += [(300 + i, f"{words(rnd, 20, 50)}\nQuibblefax Ltd\nmail: qf@mail.example") for i in range(4)]  # on the line above
+    docs += [(400 + i, f"Vandermolk {words(rnd, 80, 50)} vm@mail.example {words(rnd, 5, 50)}") for i in range(3)]  # over 100 characters away
+    docs += [(410 + i, f"{'near Plonkett pl@mail.example' if i < 2 else 'pl@mail.example ' + words(rnd, 80, 50) + ' plonkett'} {words(rnd, 5, 50)}") for i in range(6)]  # near in few of its rows
+    docs += [(500 + i, "twice Gadzook the same gz@mail.example") for i in range(2)]  # copies are one piece of evidence
+    rows, text = {r.doc_id: r for r in pii.personal_data(docs_of(spark, docs)).collect()}, dict(docs)
+    for first, n, name in ((300, 4, "quibblefax"), (400, 3, "vandermolk"), (410, 6, "plonkett")):
+        for i in range(first, first + n):
+            spans = [s.split(":") for s in rows[i].spans.split(",")]
+            found = [text[i][int(a) : int(b)].lower() for k, a, b in spans if k == "term"]
+            assert found.count(name) == 1 and "w1" not in found
+    assert rows[500].n_term == 0 and all(rows[i].spans == "" for i in range(200))
+
+
 # --- all -----------------------------------------------------------------------------------------------
 
 
