@@ -26,7 +26,7 @@ END_ID = (1).to_bytes(4, "little")
 #: Salt of the ranks within one length, so that a hot length is numbered in parallel.
 RANK_BUCKETS = 256
 #: Nodes that the branch-and-bound search may visit; the incumbent stands after that.
-SEARCH_NODES = 12_000
+SEARCH_NODES = 20_000
 #: Fillings tried per node, fullest first.
 FILLINGS = 24
 
@@ -90,45 +90,75 @@ def best_fit(counts: dict[int, int], capacity: int) -> Packing:
     return done + [b for bins in open_bins.values() for b in bins]
 
 
-def fillings(asc: list[int], counts: dict[int, int], room: int, limit: int) -> list[Pattern]:
-    """Undominated fillings of ``room`` with free items, fullest first.
+def _runs(asc: list[int], waste: int) -> list[int]:
+    """For each size, where its run of sizes at most ``waste`` apart begins; -1 if the size or one below it in the run is at most ``waste``.
+
+    If an item stays free, so do all smaller ones of its run, as it or they
+    could take their place; items no larger than ``waste`` must all be used.
+    """
+    runs: list[int] = []
+    for i, x in enumerate(asc):
+        runs.append(-1 if x <= waste else runs[-1] if i and x - asc[i - 1] <= waste else i)
+    return runs
+
+
+def _sums(asc: list[int], counts: dict[int, int], room: int, runs: list[int]) -> list[int]:
+    """For each i the bit set of sums that undominated fillings can take from ``asc[:i]``."""
+    full, sums = (1 << room + 1) - 1, [1]
+    for i, x in enumerate(asc):
+        c, most = counts[x], room // x
+        out = sums[i] << c * x if c <= most else 0
+        if runs[i] >= 0:
+            more, have, some = min(c - 1, most), 1, sums[runs[i]]
+            while more:
+                step = min(have, more)
+                some |= some << step * x
+                more, have = more - step, have + step
+            out |= some
+        sums.append(out & full)
+    return sums
+
+
+def fillings(asc: list[int], counts: dict[int, int], room: int, limit: int, most: int | None = None) -> list[Pattern]:
+    """The ``limit`` fullest undominated fillings of ``room`` with free items, fullest first.
 
     ``asc`` lists the sizes in ascending order. A filling is maximal (nothing
     left fits on top) and no item in it can be swapped for a larger free one;
-    such a swap would dominate it. Larger items are tried first, and at most
-    ``limit`` fillings are kept.
+    such a swap would dominate it. All such fillings that leave at most
+    ``most`` are enumerated in the order of what they leave, larger items
+    first; the sums that can be met lead the enumeration, so that no branch
+    of it is in vain.
     """
-    found: list[tuple[int, Pattern]] = []
-    budget = 40 * limit
-
-    def dominated(taken: Pattern, left: int) -> bool:
-        for x in set(taken):
-            at = bisect_right(asc, x)
-            while at < len(asc) and asc[at] <= x + left:
-                if counts[asc[at]] > taken.count(asc[at]):
-                    return True
-                at += 1
-        return False
-
-    def grow(top: int, left: int, taken: Pattern) -> None:
-        """Add items of the sizes ``asc[:top]``."""
-        nonlocal budget
-        budget -= 1
-        top = min(top, bisect_right(asc, left))
-        if budget < 0 or len(found) >= limit and found[-1][0] == 0:
-            return
-        if not top:
-            if not dominated(taken, left):
-                found.append((left, taken))
-            return
-        x = asc[top - 1]
-        for k in range(min(counts[x], left // x), -1, -1):
-            grow(top - 1, left - k * x, taken + (x,) * k)
-            if budget < 0 or len(found) >= limit:
-                return
-
-    grow(len(asc), room, ())
-    return [p for _, p in sorted(found, key=lambda f: (f[0], len(f[1])))] or [()]
+    asc = asc[: bisect_right(asc, room)]
+    found: list[Pattern] = []
+    any_ = _sums(asc, counts, room, _runs(asc, 0))
+    for waste in range(min(room, room if most is None else most) + 1):
+        if not any_[-1] >> room - waste & 1:
+            continue
+        runs = _runs(asc, waste)
+        sums = _sums(asc, counts, room, runs) if waste else any_
+        stack: list[tuple[int, int, Pattern]] = [(len(asc), room - waste, ())]
+        level: list[Pattern] = []
+        while stack and len(found) + len(level) < limit:
+            i, left, taken = stack.pop()
+            if not sums[i] >> left & 1:
+                continue
+            top = bisect_right(asc, left, 0, i)
+            if top < i:  # sizes that do not fit stay free
+                if runs[top] >= 0:
+                    stack.append((runs[top], left, taken))
+            elif not i:
+                level.append(taken)
+            else:
+                x = asc[i - 1]
+                if runs[i - 1] >= 0:
+                    stack += [(runs[i - 1], left - k * x, taken + (x,) * k) for k in range(min(counts[x] - 1, left // x) + 1)]
+                if counts[x] * x <= left:
+                    stack.append((i - 1, left - counts[x] * x, taken + (x,) * counts[x]))
+        found += sorted(level, key=len)
+        if len(found) >= limit:
+            break
+    return found
 
 
 class _Rest:
@@ -150,11 +180,11 @@ class _Rest:
             if there:
                 self.asc.pop(at)
 
-    def completions(self, capacity: int) -> list[Pattern]:
-        """Bins around the largest item."""
+    def completions(self, capacity: int, most: int) -> list[Pattern]:
+        """Bins around the largest item that leave at most ``most``."""
         big = self.asc[-1]
         self.change(big, -1)
-        out = [(big, *f) for f in fillings(self.asc, self.counts, capacity - big, FILLINGS)]
+        out = [(big, *f) for f in fillings(self.asc, self.counts, capacity - big, FILLINGS, most)]
         self.change(big, 1)
         return out
 
@@ -176,7 +206,7 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     if size <= bound:
         return best
     rest, made, bins, waste = _Rest(counts), [], 0, 0
-    open_ = [iter(rest.completions(capacity))]
+    open_ = [iter(rest.completions(capacity, (size - 1) * capacity - total))]
     visited = 0
     while open_:
         pattern = next(open_[-1], None)
@@ -201,14 +231,14 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
             rest.change(x, -k * times)
         made.append((pattern, times))
         bins, waste = bins + times, waste + times * lost
-        tail = best_fit(rest.counts, capacity) if visited % 128 == 0 and rest.asc else []
+        tail = best_fit(rest.counts, capacity) if visited % 16 == 0 and rest.asc else []
         if not rest.asc or tail:
             now = bins + sum(n for _, n in tail)
             if now < size:
                 best, size = made + tail, now
                 if size <= bound:
                     return best
-        open_.append(iter(rest.completions(capacity) if rest.asc else []))
+        open_.append(iter(rest.completions(capacity, (size - 1) * capacity - total - waste) if rest.asc else []))
     return best
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -329,6 +330,25 @@ def test_bin_completion_is_optimal_on_small_cases():
     assert sum(n for _, n in pack.bin_completion({k * 10: v for k, v in hard.items()}, 110)) >= pack.lower_bound({k * 10: v for k, v in hard.items()}, 110)
 
 
+def test_fillings_are_the_fullest_of_all():
+    rnd = random.Random(13)
+    for _ in range(200):
+        counts = {x: rnd.randint(1, 3) for x in rnd.sample(range(1, 30), rnd.randint(1, 6))}
+        room, asc = rnd.randint(1, 60), sorted(counts)
+        every = []
+        for ks in itertools.product(*(range(counts[x] + 1) for x in asc)):
+            left = room - sum(k * x for k, x in zip(ks, asc, strict=True))
+            free = [x for k, x in zip(ks, asc, strict=True) if k < counts[x]]
+            used = [x for k, x in zip(ks, asc, strict=True) if k]
+            if left >= 0 and not any(y <= left or any(x < y <= x + left for x in used) for y in free):
+                every.append((left, tuple(sorted(x for k, x in zip(ks, asc, strict=True) for _ in range(k)))))
+        got = [(room - sum(f), tuple(sorted(f))) for f in pack.fillings(asc, counts, room, 10**6)]
+        assert sorted(got) == sorted(every) and [w for w, _ in got] == sorted(w for w, _ in every)
+        assert [room - sum(f) for f in pack.fillings(asc, counts, room, 3)] == sorted(w for w, _ in every)[:3]
+    wide = {x: 1 for x in range(101, 2000, 7)}  # the largest items first leave waste in all of the first fillings
+    assert {sum(f) for f in pack.fillings(sorted(wide), wide, 3000, 24)} == {3000}
+
+
 def test_packed_pieces_hold_all_tokens(spark, odd, none):
     from tokenizers import Tokenizer
 
