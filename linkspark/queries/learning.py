@@ -123,7 +123,7 @@ def act_committee(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ACT-02_farthest_first")
 def act_farthest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten document pairs that lie far apart."""
-    return active.seed_points(_pool(spark, sf_dir), 10).select("pair_id")
+    return active.seed_points(stage(_pool(spark, sf_dir), "seed-pool"), 10).select("pair_id")
 
 
 @query("ACT-06_graph_boosted")

@@ -347,3 +347,10 @@ def test_running_sums(spark):
         total += values[k]
         assert (got[k].run_n, got[k].prev) == (total, before)
         before = k
+
+
+def test_seed_points_are_sought_among_all_rows(spark):
+    rows = [(f"{i}", [1.0, 1.0 + i % 7 / 100]) for i in range(20_000)] + [("far", [-1.0, -1.0])]
+    got = active.seed_points(spark.createDataFrame(rows, "pair_id string, features array<double>"), 2, seed=1)
+    ids = {r.pair_id for r in got.collect()}
+    assert len(ids) == 2 and "far" in ids
