@@ -83,5 +83,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_feistel_shards, op2_icws_near_dedup, op3_edit_token_counts, op4_exact_dedup, op5_warc, op6_nnpu_toxicity, op7_best_fit_packing, op8_decontamination, op9_ordinal_quality, op10_personal_data, pipeline)}
+def sanitised_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal data replaced and disclosing terms generalised or removed; the texts by their MD5."""
+    docs = pii.sanitise(_table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_feistel_shards, op2_icws_near_dedup, op3_edit_token_counts, op4_exact_dedup, op5_warc, op6_nnpu_toxicity, op7_best_fit_packing, op8_decontamination, op9_ordinal_quality, op10_personal_data, sanitised_documents, pipeline)}
 ORACLES: dict[str, str] = {"op1_feistel_shards": oracle.shards(), "op4_exact_dedup": oracle.EXACT, "op5_warc": oracle.WARC}

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -529,6 +531,108 @@ def test_terms_far_from_their_entity_disclose(spark):
     assert rows[500].n_term == 0 and all(rows[i].spans == "" for i in range(200))
 
 
+def brute_terms(texts):
+    """Term spans of every text by plain loops over all (concept, term) pairs."""
+    word = regex.compile(r"[\p{L}\p{N}]+")
+    letter = regex.compile(r"\p{L}")
+
+    def terms_of(text):
+        return {w for w in word.findall(text.lower()) if len(w) >= pii.TERM_LETTERS and letter.search(w)}
+
+    def free(text):
+        for kind in pii.KINDS:
+            text = regex.sub(pii.PATTERNS[kind], " ", text)
+        return text
+
+    rows = []
+    for text in texts:
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in brute_spans(text))]
+        concepts = defaultdict(list)
+        for k, a, b in spans:
+            v = text[a:b].lower()
+            digits = re.sub("[^0-9]", "", v)
+            origin = {"email": v.rpartition("@")[2], "ip": ".".join(v.split(".")[:2]), "card": digits[:6], "phone": digits[:4]}[k]
+            for c in ((0, f"{k}:{v}"), (1, f"{k}:~{origin}"), (2, k), (2, "any")):
+                concepts[c].append(f"{k}:{v}")
+        rows.append((text, concepts, terms_of(free(text.lower())) if concepts else set(), spans))
+    n = len(rows)
+    e_df, t_df, both, evidence, values = Counter(), Counter(), Counter(), defaultdict(set), defaultdict(set)
+    for text, concepts, terms, _ in rows:
+        t_df.update(terms_of(text))
+        e_df.update(concepts.keys())
+        for c, vs in concepts.items():
+            for t in terms:
+                both[c, t] += 1
+                evidence[c, t].add(free(text.lower()))
+                values[c, t].add(min(vs, key=lambda v: xxhash64_of(v)))
+    for text, concepts, _, spans in rows:  # contexts that differ, in copies of one text
+        for k, a, b in spans:
+            before, after = text[max(0, a - 100) : a], text[b : b + 100]
+            before = regex.sub(r"^[\p{L}\p{N}]+", "", before) if a > 100 else before
+            after = regex.sub(r"[\p{L}\p{N}]+$", "", after) if len(after) == 100 else after
+            near = free(before.rpartition("\n")[2] + " | " + after.partition("\n")[0])
+            for t in terms_of(near):
+                evidence[(0, f"{k}:{text[a:b].lower()}"), t].add("near:" + near)
+
+    def surprise(b, t, e, n):
+        return 2 * sum(o * math.log(o / d) for o, d in ((b, t * e / n), (t - b, t * (n - e) / n), (e - b, (n - t) * e / n), (n - t - e + b, (n - t) * (n - e) / n)) if o > 0)
+
+    def differ(k):
+        full = [x for x in evidence[k] if not x.startswith("near:")]
+        return len(full) > 1 or len(evidence[k]) - len(full) > 1
+
+    pairs = [k for k in both if e_df[k[0]] >= pii.SUPPORT and differ(k)]
+    bar = 2 * math.log(max(1, sum(c[0] > 0 for c, _ in pairs))) + pii.MARGIN
+    told = set()
+    for c, t in pairs:
+        b, e, d = both[c, t], e_df[c], t_df[t]
+        if e == n or not d or math.log(n * b / (d * e)) < (pii.WIDE_DISCLOSURE if c[0] else pii.DISCLOSURE) * math.log(n / e):
+            continue
+        f = len(values[c, t])
+        if c[0] == 0 or (surprise(b, b, e, n) >= bar and surprise(f, d - b + f, e - b + f, n - b + f) >= bar):
+            told.add((c, t))
+    out = []
+    for text, concepts, _, spans in rows:
+        mine = {t for c, t in told if c in concepts or c[0] == 2}
+        found = [m.span() for m in word.finditer(text) if m.group().lower() in mine]
+        out.append([(a, b) for a, b in found if not any(a < y and x < b for _, x, y in spans)])
+    return out
+
+
+def xxhash64_of(value):
+    """Stands for any fixed order of values."""
+    return hashlib.md5(value.encode()).digest()
+
+
+def term_spans(row):
+    return [tuple(map(int, s.split(":")[1:])) for s in row.spans.split(",") if s.startswith("term")]
+
+
+def test_terms_equal_brute_force(spark):
+    rnd = random.Random(13)
+    texts = [words(rnd, 25, 60) for _ in range(300)]
+    for i in range(60):  # a word of a class: with other values each time, and a few times alone
+        texts.append(f"{words(rnd, 9, 60)} Kontakt p{i}@host{i}.example {words(rnd, 9, 60)}" if i % 20 else f"{words(rnd, 20, 60)} kontakt")
+    texts += [f"caller {words(rnd, 9, 60)} +49 30 {1000000 + i} {words(rnd, 9, 60)} ref QX{i % 3}77 one.two@origin.example" for i in range(12)]
+    texts += [f"Wexmoor ten copies 10.1.2.{i}" for i in range(10)] + ["Plimsoll stood by 10.9.9.9 in a text that was copied"] * 30
+    got = {r.doc_id: r for r in pii.personal_data(docs_of(spark, list(enumerate(texts)))).collect()}
+    want = brute_terms(texts)
+    assert [term_spans(got[i]) for i in range(len(texts))] == want
+    marked = {texts[i][a:b].lower() for i, spans in enumerate(want) for a, b in spans}
+    assert "kontakt" in marked and "plimsoll" not in marked
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs_of(spark, list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        assert (clean[i] == text) == (not want[i] and not brute_spans(text)) and "kontakt" not in clean[i].lower()
+
+
+def test_terms_of_the_sample_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: term_spans(r) for r in pii.personal_data(docs).collect()}
+    want = dict(zip(texts, brute_terms(list(texts.values())), strict=True))
+    assert got == want and sum(map(len, want.values())) > 0
+
+
 # --- all -----------------------------------------------------------------------------------------------
 
 
