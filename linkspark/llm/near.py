@@ -24,13 +24,15 @@ SAMPLES = BANDS * ROWS
 #: Document frequencies are counted in 2**SLOT_BITS hashed word slots: a fixed
 #: table at every corpus size. Words of one slot share its frequency.
 SLOT_BITS = 18
-#: Share of a word's weight that its rarity decides. Shingle weights stay
-#: within 1 and 1 + RARITY times (1 + ln tf), so that a weighted similarity of
-#: 0.8 means about what it means on plain shingles.
-RARITY = 0.25
+#: A word's weight is 1 + RARITY times its smoothed, normalised idf, so the
+#: rarest word weighs twice what a word of every text does, and a weighted
+#: similarity of 0.8 means about what it means on plain shingles.
+RARITY = 1.0
 #: Rounds of leader comparison before what is left of a bucket is compared in blocks.
 LEADER_ROUNDS = 2
-BLOCK_LEFT, BLOCK_RIGHT = 256, 1024
+BLOCK_LEFT, BLOCK_RIGHT = 128, 512
+#: Counters of shingles in buckets that are larger than a block; common ones go last in the order of prefixes.
+PREFIX_BITS = 20
 #: Shingles that are sampled at once; bounds the arrays of a very long text.
 SAMPLE_CHUNK = 2048
 
@@ -63,7 +65,7 @@ _PLACE = _mix((np.arange(1, SHINGLE_WORDS + 1, dtype=np.uint64)) * _M1) | np.uin
 def shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct five-word shingles (sorted hashes) and their weights; a shorter text is one shingle.
 
-    The weight is ``(1 + ln tf)`` times the mean damped idf of the shingle's words.
+    The weight is ``(1 + ln tf)`` times the mean weight of the shingle's words by idf.
     """
     n, k = len(words), min(len(words), SHINGLE_WORDS)
     if not n:
@@ -147,8 +149,8 @@ def similarity(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -
 
 # --- passes over the texts ---------------------------------------------------
 
-UNITS = "doc_id long, rid long, ukey binary, task int, chunk int, counts binary"
-_UNITS = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("ukey", pa.binary()), ("task", pa.int32()), ("chunk", pa.int32()), ("counts", pa.binary())])
+UNITS = "doc_id long, rid long, tkey binary, ukey binary, task int, chunk int, counts binary"
+_UNITS = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("tkey", pa.binary()), ("ukey", pa.binary()), ("task", pa.int32()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,18 +159,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SLOT_BITS, np.int64)
     for batch in batches:
         keys = []
-        for text in values(batch.column(2)):
+        for text in values(batch.column(3)):
             words = word_hashes(text)
             keys.append(unit_key(words, text))
             counts[np.unique(words >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] += 1
-        nulls = [pa.nulls(len(keys), f.type) for f in list(_UNITS)[3:]]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), *nulls], schema=_UNITS)
+        nulls = [pa.nulls(len(keys), f.type) for f in list(_UNITS)[4:]]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.binary()), *nulls], schema=_UNITS)
     chunks = chunks_of(counts)
-    nulls = [pa.nulls(len(chunks), f.type) for f in list(_UNITS)[:3]]
-    yield pa.RecordBatch.from_arrays([*nulls, *(pa.array([c[i] for c in chunks], f.type) for i, f in enumerate(list(_UNITS)[3:]))], schema=_UNITS)
+    nulls = [pa.nulls(len(chunks), f.type) for f in list(_UNITS)[:4]]
+    yield pa.RecordBatch.from_arrays([*nulls, *(pa.array([c[i] for c in chunks], f.type) for i, f in enumerate(list(_UNITS)[4:]))], schema=_UNITS)
 
 
-def damped_idf(units: DataFrame, rows: int) -> np.ndarray:
+def word_weights(units: DataFrame, rows: int) -> np.ndarray:
     """Slot to weight: 1 + RARITY * ln((1 + N) / (1 + df)) / ln(1 + N), over all rows."""
     df, n = total(units.where("chunk is not null"), 1 << SLOT_BITS), max(rows, 1)
     return (1 + RARITY * np.log((1 + n) / (1 + np.minimum(df, n))) / np.log(1 + n)).astype(np.float32)
@@ -245,7 +247,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     five-word TF-IDF shingles. Bucket members that the leader does not link,
     and those that could still be linked to one of them (the distance is a
     metric, so d(x, leader) >= d(y, leader) - 0.2), go on: to a new leader,
-    then block against block. No pairs of one bucket are enumerated as rows
+    then block against block, after buckets larger than a block were dealt
+    anew by the rare shingles that linked texts must share. No pairs of one bucket are enumerated as rows
     and none is left out. Classes are the connected components of the links;
     the largest id of a class is its ``class_id`` and stays.
 
@@ -256,19 +259,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", "rid", F.unhex(F.md5(F.col("text").cast("binary"))).alias("tkey"), "text")
     counted = stage(rows.mapInArrow(_count, UNITS), "near-units")
-    light = counted.where("chunk is null").select("doc_id", "rid", "ukey")
-    idf = spark.sparkContext.broadcast(damped_idf(counted, light.count()))
+    light = counted.where("chunk is null").select("doc_id", "rid", "tkey", "ukey")
+    idf = spark.sparkContext.broadcast(word_weights(counted, light.count()))
     banded = stage(rows.select("text").mapInArrow(lambda b: _bands(b, idf), "ukey binary, bucket long").distinct(), "near-bands")
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stage(banded.join(sizes, "bucket"), "near-members").select("bucket", "ukey", "n")
     degree = members.groupBy("ukey").agg(F.sum("n").alias("degree"))
     scored = stage(members.select("bucket", "ukey").join(degree, "ukey"), "near-scored")
-    # texts of candidate units only
-    units = light.groupBy("ukey").agg(F.max("doc_id").alias("doc_id"))
-    wanted = stage(degree.select("ukey").join(units, "ukey"), "near-wanted").select("doc_id", F.col("ukey").alias("want"))
-    side = broadcast_if_small(wanted, 48)
-    texts = rows.select("doc_id", "text").join(side, rows.doc_id.eqNullSafe(side.doc_id)).select("text", "want")
+    texts = candidate_texts(rows, light, degree)
     vectors = stage(texts.mapInArrow(lambda b: _vectors(b, idf), "ukey binary, h binary, w binary").dropDuplicates(["ukey"]), "near-vectors")
 
     links = None
@@ -304,8 +304,66 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("class_top.doc_id").alias("class_id"), "class_size", (F.col("rid") == -F.col("class_top.back")).alias("kept"))
 
 
+def candidate_texts(rows: DataFrame, light: DataFrame, degree: DataFrame) -> DataFrame:
+    """``(text, want)``: a text for each candidate unit, by id and digest, so that repeated or null ids bring no other texts along."""
+    units = light.groupBy("ukey").agg(F.max(F.struct("doc_id", "tkey")).alias("one"))
+    wanted = stage(degree.select("ukey").join(units, "ukey").select("one.*", "ukey"), "near-wanted")
+    side = broadcast_if_small(wanted.select(F.col("doc_id").alias("id"), F.col("tkey").alias("digest"), F.col("ukey").alias("want")), 64)
+    return rows.join(side, (F.col("tkey") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "want")
+
+
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << PREFIX_BITS, np.int64)
+    for batch in batches:
+        for h in batch.column(0):
+            np.add.at(counts, (np.frombuffer(h.as_py(), np.uint64) >> np.uint64(64 - PREFIX_BITS)).astype(np.int64), 1)
+    chunks = chunks_of(counts)
+    yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in chunks], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["task", "chunk", "counts"])
+
+
+def prefix(h: np.ndarray, w: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The least common shingles, until those that are left weigh less than SIMILARITY of the whole.
+
+    What two texts share weighs at least SIMILARITY of either if their
+    similarity does. If they shared nothing of their prefixes, the one whose
+    prefix ends first in the common order would share only what is left of it,
+    which weighs less. So linked texts meet at a shingle of both prefixes.
+    """
+    order = np.lexsort((h, common[(h >> np.uint64(64 - PREFIX_BITS)).astype(np.int64)]))
+    left = w.sum(dtype=np.float64) - np.cumsum(w[order], dtype=np.float64)
+    return h[order[: int(np.argmax(left < SIMILARITY * (1 - 1e-6) * w.sum(dtype=np.float64))) + 1]]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], common) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [prefix(*_parse(h, w), common.value).view(np.int64) for h, w in zip(*map(values, batch.columns[2:]), strict=True)]
+        row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), batch.column(0).take(row), batch.column(1).take(row)], names=["bucket", "ukey", "apart"])
+
+
+def _narrowed(members: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Buckets larger than a block, dealt anew by the shingles of their members' prefixes.
+
+    Texts that share a long passage and little else fall into one band bucket
+    but have their own rare shingles first, so few of them meet again. The
+    order of shingles is by one table of hashed counts over these members;
+    its size is fixed, and collisions change the effort, not the links.
+    """
+    units = stage(members.groupBy("ukey").agg(F.max("apart").alias("apart")).join(vectors, "ukey"), "near-large")
+    counts = total(units.select("h").mapInArrow(_shingle_counts, "task int, chunk int, counts binary"), 1 << PREFIX_BITS)
+    common = members.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
+    dealt = units.select("ukey", "apart", "h", "w").mapInArrow(lambda b: _prefixes(b, common), "bucket long, ukey binary, apart boolean")
+    return stage(dealt, "near-prefixes")
+
+
 def _blocks(members: DataFrame, vectors: DataFrame) -> DataFrame:
     """Links of the unlinked members of each bucket with all its open members, block against block."""
+    members = members.select("bucket", "ukey", "apart")
+    large = members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_RIGHT).select("bucket")
+    large = stage(large, "near-large-buckets")
+    if not large.isEmpty():
+        large = broadcast_if_small(large, 16)
+        members = members.join(large, "bucket", "left_anti").unionByName(_narrowed(members.join(large, "bucket", "left_semi"), vectors))
     salted = members.withColumn("salt", F.pmod(F.xxhash64("ukey"), F.lit(1 << 30)))
     sizes = salted.groupBy("bucket").agg(F.sum(F.col("apart").cast("int")).alias("lefts"), F.count("*").alias("rights"))
     salted = salted.join(sizes.where("rights > 1"), "bucket")

@@ -151,6 +151,34 @@ def test_blocks_find_links_that_no_leader_shows(spark, monkeypatch):
     assert got == want and want
 
 
+def test_prefixes_of_linked_texts_meet():
+    rnd = np.random.default_rng(4)
+    met = apart = 0
+    for _ in range(400):
+        h = np.unique(rnd.integers(0, 1 << 63, 80).astype(np.uint64))
+        a, b = (np.sort(rnd.choice(h, rnd.integers(68, len(h)), replace=False)) for _ in range(2))
+        wa, wb = (rnd.uniform(1, 1.5, len(x)).astype(np.float32) for x in (a, b))
+        common = rnd.integers(0, 3, 1 << near.PREFIX_BITS).astype(np.int32)
+        shared = set(near.prefix(a, wa, common).tolist()) & set(near.prefix(b, wb, common).tolist())
+        if near.similarity(a, wa, b, wb) >= near.SIMILARITY:
+            met += 1
+            assert shared
+        apart += len(near.prefix(a, wa, common)) < len(a)
+    assert met > 50 and apart == 400
+
+
+def test_repeated_and_null_ids_bring_no_other_texts(spark):
+    rnd = random.Random(31)
+    base = [words(rnd, 60, 5000) for _ in range(1000)]
+    texts = [t for b in base for t in (b, b + " more")] * 2
+    docs = docs_of(spark, [(None if i < 2000 else 7, t) for i, t in enumerate(texts)])
+    rows = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("tkey"), "text")
+    light = rows.select("doc_id", "tkey", F.col("tkey").alias("ukey"))
+    assert near.candidate_texts(rows, light, light.select("ukey").distinct()).count() == 2000
+    got = near.near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("class_size").alias("low"), F.max("class_size").alias("high"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()
+    assert {(r.doc_id, r.n, r.low, r.high, r.kept) for r in got} == {(None, 2000, 4, 4, 0), (7, 2000, 4, 4, 1000)}
+
+
 def test_near_edges(odd, none):
     rows = near.near_duplicates(odd).collect()
     assert len(rows) == 12
