@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm.caches import WordCache, claim, values
+from linkspark.plans.staging import stage
 
 #: Leaves of one block; a block that outgrows MOST_LEAVES has the tree rebuilt.
 LEAVES, MOST_LEAVES = 128, 1024
@@ -171,17 +171,20 @@ class CountTree:
 
 # --- the distributed part ------------------------------------------------------
 
-TREES = "doc_id long, text string, tokens long, leaf_chars binary, leaf_tokens binary, edits array<struct<start:long,end:long,new:string>>"
+TREES = "doc_id long, text string, tokens long, n_leaves long, leaf_chars binary, leaf_tokens binary, edits array<struct<start:long,end:long,new:string>>"
 COUNTS = "doc_id long, tokens_before long, tokens_after long, leaves long, encoded_leaves long, encoded_chars long, text_chars long"
 EDITS = "array<struct<start:long,end:long,new:string>>"
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zlib.compress(a.astype(np.int32).tobytes(), 1)
+    """A byte per leaf, 255 and four bytes behind all for one that needs more; the table's codec does the rest."""
+    return np.minimum(a, 255).astype(np.uint8).tobytes() + a[a >= 255].astype("<i4").tobytes()
 
 
-def _unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), np.int32).astype(np.int64)
+def _unpack(b: bytes, leaves: int) -> np.ndarray:
+    out = np.frombuffer(b, np.uint8, leaves).astype(np.int64)
+    out[out == 255] = np.frombuffer(b, "<i4", offset=leaves)
+    return out
 
 
 def _trees(batches: Iterator[pa.RecordBatch], vocab: str) -> Iterator[pa.RecordBatch]:
@@ -191,9 +194,9 @@ def _trees(batches: Iterator[pa.RecordBatch], vocab: str) -> Iterator[pa.RecordB
         rows = []
         for text in values(batch.column(1)):
             chars, tokens = counter.leaves(text)
-            rows.append((int(tokens.sum()), _pack(chars), _pack(tokens)))
-        new = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new, batch.column(2)], names=["doc_id", "text", "tokens", "leaf_chars", "leaf_tokens", "edits"])
+            rows.append((int(tokens.sum()), len(chars), _pack(chars), _pack(tokens)))
+        new = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new, batch.column(2)], names=["doc_id", "text", "tokens", "n_leaves", "leaf_chars", "leaf_tokens", "edits"])
 
 
 def build_trees(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
@@ -214,33 +217,21 @@ def _counts(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _apply(batches: Iterator[pa.RecordBatch], vocab: str, keep: bool) -> Iterator[pa.RecordBatch]:
+    """One stored tree at a time: its sums from its leaves, then the edits; only what these touch is encoded."""
+    claim("edits")
     counter = Counter.of(vocab)
     for batch in batches:
         rows = []
-        for doc_id, text, before, chars, tokens, edits in zip(*map(values, batch.columns), strict=True):
-            tree = _edited(CountTree(text, counter, (_unpack(chars), _unpack(tokens))), edits)
-            rows.append((doc_id, tree.text, tree.tokens, *map(_pack, tree.leaves()), None) if keep else (doc_id, before, tree.tokens, tree.leaf_count, tree.encoded_leaves, tree.encoded_chars, len(tree.text)))
+        for doc_id, text, before, n, chars, tokens, edits in zip(*map(values, batch.columns), strict=True):
+            tree = _edited(CountTree(text, counter, (_unpack(chars, n), _unpack(tokens, n))), edits)
+            rows.append((doc_id, tree.text, tree.tokens, tree.leaf_count, *map(_pack, tree.leaves()), None) if keep else (doc_id, before, tree.tokens, tree.leaf_count, tree.encoded_leaves, tree.encoded_chars, len(tree.text)))
         if keep:
-            types = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), batch.column(5).type]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["doc_id", "text", "tokens", "leaf_chars", "leaf_tokens", "edits"])
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), batch.column(6).type]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["doc_id", "text", "tokens", "n_leaves", "leaf_chars", "leaf_tokens", "edits"])
         else:
             yield _counts(rows)
 
 
-def _build_and_apply(batches: Iterator[pa.RecordBatch], vocab: str) -> Iterator[pa.RecordBatch]:
-    """Tree and edits of one document at a time, in one worker."""
-    claim("edits")
-    counter = Counter.of(vocab)
-    for batch in batches:
-        rows = []
-        for doc_id, text, edits in zip(*map(values, batch.columns), strict=True):
-            tree = CountTree(text or "", counter)
-            before = tree.tokens
-            _edited(tree, edits)
-            rows.append((doc_id, before, tree.tokens, tree.leaf_count, tree.encoded_leaves, tree.encoded_chars, len(tree.text)))
-        yield _counts(rows)
-
-
 def apply_edits(trees: DataFrame, vocab: str) -> DataFrame:
     """Counts before and after each row's edits, which are applied in their order."""
     return trees.mapInArrow(lambda b: _apply(b, vocab, False), COUNTS)
@@ -252,21 +243,29 @@ def edited_trees(trees: DataFrame, vocab: str) -> DataFrame:
 
 
 def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
-    """Attach a table ``(doc_id, seq, start, end, new)``; edits of one document are applied by ``seq``."""
+    """Attach a table ``(doc_id, seq, start, end, new)``; edits of one document are applied by ``seq``.
+
+    Each tree with that id gets them, so rows that repeat an id all change
+    alike; edits of null or unknown ids are ignored. A document's edits come
+    together in one row, as its text does.
+    """
     lists = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "new"))).alias("e"))
     lists = lists.select("doc_id", F.transform("e", lambda x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"), x["new"].cast("string").alias("new"))).alias("edits"))
-    return trees.drop("edits").join(lists, "doc_id", "left").select("doc_id", "text", "tokens", "leaf_chars", "leaf_tokens", "edits")
+    return trees.drop("edits").join(lists, "doc_id", "left").select("doc_id", "text", "tokens", "n_leaves", "leaf_chars", "leaf_tokens", "edits")
 
 
 def count_edited(docs: DataFrame, vocab: str, edits_col: str = "edits", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token counts of every document before and after its edits; one narrow pass, no shuffle.
+    """Token counts of every document before and after its edits.
 
-    Columns: doc_id, tokens_before, tokens_after, leaves, encoded_leaves and
-    encoded_chars (what the edits made the tree encode again), text_chars.
+    The trees of all documents are built and stored; the edits then work on
+    the stored trees alone and encode nothing but what they touch. Two narrow
+    passes, no shuffle. Columns: doc_id, tokens_before, tokens_after, leaves,
+    encoded_leaves and encoded_chars (what the edits made the tree encode
+    again), text_chars.
 
     Null and empty texts have no tokens; null edits change nothing; places
     beyond the text are moved to its end. Null ids and repeated rows are rows
-    like others. Other columns are not read. An empty table gives no rows.
+    like others; very long texts are one tree each. Other columns are not
+    read. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(edits_col).cast(EDITS).alias("edits"))
-    return rows.mapInArrow(lambda b: _build_and_apply(b, vocab), COUNTS)
+    return apply_edits(stage(build_trees(docs, vocab, id_col, text_col, edits_col), "edits-trees"), vocab)

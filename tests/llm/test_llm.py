@@ -16,6 +16,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from linkspark.llm import decontam, edits, exact, near, oracle, ordinal, pack, pii, queries, shard, tokens, toxic, warc
+from linkspark.plans.staging import stage
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -221,6 +222,28 @@ def test_edited_counts_equal_full_encoding(spark, odd, none):
     assert edits.count_edited(none.withColumn("edits", script), vocab).collect() == []
 
 
+def test_trees_are_stored_edited_and_stored_again(spark):
+    """Every count after each round of edits on the stored trees equals a full encoding of the text."""
+    vocab = queries.vocabulary("byte_bpe_50k.tiktoken")
+    full = edits.Counter.of(vocab).encoding.encode_ordinary
+    rnd = random.Random(17)
+    text = {i: words(rnd, rnd.choice([0, 3, 60, 3000]), 900) + rnd.choice(["", " 日本 isn't", " " * 400, "x" * 700]) for i in range(40)}
+    trees = stage(edits.build_trees(docs_of(spark, [*text.items(), (7, text[7]), (None, "no id")]), vocab), "test-trees")
+    for _ in range(3):
+        script = []
+        for i in rnd.sample(sorted(text), 25):
+            for seq in range(rnd.randint(1, 3)):
+                a = rnd.randint(0, len(text[i]))
+                b, new = min(a + rnd.choice([0, 1, 9, 400]), len(text[i])), rnd.choice(["", " new", "'ll ", "\n\n ", "é" * 300])
+                text[i] = text[i][:a] + new + text[i][b:]
+                script.append((i, seq, a, b, new))
+        table = spark.createDataFrame([*script, (999, 0, 0, 1, "x"), (None, 0, 0, 1, "x")], "doc_id long, seq int, start long, end long, new string")
+        changed = edits.with_edits(trees, table)
+        counts = edits.apply_edits(changed, vocab).collect()
+        assert Counter((r.doc_id, r.tokens_after, r.text_chars) for r in counts) == Counter((i, len(full(t)), len(t)) for i, t in [*text.items(), (7, text[7]), (None, "no id")])
+        trees = stage(edits.edited_trees(changed, vocab), "test-trees")
+    assert {r.doc_id: r.tokens for r in trees.collect()} == {i: len(full(t)) for i, t in [*text.items(), (None, "no id")]}
+
 def test_stored_trees_take_further_edits(spark):
     vocab = queries.vocabulary("byte_bpe_50k.tiktoken")
     trees = edits.build_trees(docs_of(spark, [(1, "one two three"), (2, None)]), vocab)
