@@ -21,6 +21,8 @@ FILE_BYTES = 256 << 20
 #: Ranges closer than this are read as one; a read stops growing at READ_BYTES.
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
+#: Bytes of the archives that one task reads back.
+TASK_BYTES = 128 << 20
 
 INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, payload_bytes long, record_type string"
 INDEX_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("record_type", pa.string())])
@@ -37,64 +39,98 @@ def _header(value: object) -> str:
     return "".join(" " if c in "\r\n" else c for c in str(value))
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One gzip member holding a response record, or a revisit record without the payload."""
-    body = b"" if revisit else payload
+#: Pages come without a time of capture.
+DATE = "1970-01-01T00:00:00Z"
+_HTTP = "application/http; msgtype=response"
+
+
+def _member(head: list[str], block: bytes) -> bytes:
+    """One gzip member: header lines, the block and the two line ends behind it."""
+    z = zlib.compressobj(1, zlib.DEFLATED, 31)
+    lines = ["WARC/1.1", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}", *head, f"Content-Length: {len(block)}"]
+    return z.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
+
+
+def encode_info(name: str) -> bytes:
+    """The record that opens a file."""
+    return _member(["WARC-Type: warcinfo", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], b"software: linkspark\r\nformat: WARC File Format 1.1\r\n")
+
+
+def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, refers_url: str | None = None) -> bytes:
+    """A response record, or a revisit record: the same HTTP header without the payload.
+
+    Record ids are drawn anew for each record, as pages may repeat their ids;
+    the page's own id and the one that it revisits have headers of their own.
+    """
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http if revisit else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {_header(url or '')}", f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}",
+        f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Target-URI: {_header(url or '')}", f"WARC-Payload-Digest: sha1:{digest}",
+        f"WARC-Block-Digest: sha1:{digest_of(block)}", f"Content-Type: {_HTTP}", f"X-Page-ID: {'' if page_id is None else page_id}",
     ]
     if revisit:
-        head.insert(6, f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>")
-        head.insert(7, "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-    z = zlib.compressobj(1, zlib.DEFLATED, 31)
-    return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + z.flush()
+        head += [f"WARC-Refers-To-Target-URI: {_header(refers_url or '')}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-ID: {'' if refers_to is None else refers_to}"]
+        head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+    return _member(head, block)
 
 
 def decode_record(member: bytes) -> tuple:
-    """The fields of ``RECORD`` from one gzip member; digests of stored payloads are computed again."""
+    """The fields of ``RECORD`` from one gzip member; digests of blocks and stored payloads are computed again."""
     raw = zlib.decompress(member, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    body = rest[: int(fields["Content-Length"])]
-    if rest[len(body) :] != b"\r\n\r\n":
-        raise ValueError("a WARC record does not end where its length says")
-    page, refers = (v[10:-1] if (v := fields.get(k, "<urn:page:>")) else "" for k in ("WARC-Record-ID", "WARC-Refers-To"))
-    digest, size = fields["WARC-Payload-Digest"][5:], int(fields["X-Payload-Length"])
+    block = rest[: int(fields["Content-Length"])]
+    if rest[len(block) :] != b"\r\n\r\n" or digest_of(block) != fields["WARC-Block-Digest"][5:]:
+        raise ValueError("a WARC record does not end where its length says, or its block is damaged")
+    http, _, body = block.partition(b"\r\n\r\n")
+    size, digest = int(http.rpartition(b": ")[2]), fields["WARC-Payload-Digest"][5:]
     if fields["WARC-Type"] == "response":
         if digest_of(body) != digest or len(body) != size:
             raise ValueError("a WARC payload does not match its digest")
     else:
         body = None
+    page, refers = fields["X-Page-ID"], fields.get("X-Refers-To-Page-ID")
     return int(page) if page else None, fields["WARC-Target-URI"], body, size, digest, fields["WARC-Type"], int(refers) if refers else None
 
 
+#: Names of object stores to Hadoop, and to the file systems that workers use.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "s3": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss", "hdfs": "hdfs", "viewfs": "viewfs", "file": "file"}
+
+
+def worker_uri(uri: str) -> str:
+    """A folder as Hadoop names it, as the workers' file systems name it."""
+    scheme, _, rest = uri.partition(":")
+    if "/" in scheme or not rest:
+        return f"file://{uri}"
+    if scheme not in _SCHEMES:
+        raise ValueError(f"archives cannot be written to {scheme}: folders; spark.checkpoint.dir must name one of {', '.join(_SCHEMES)}")
+    return f"{_SCHEMES[scheme]}://{rest.removeprefix('//')}"
+
+
 def _filesystem(uri: str):
     """The file system and path of a shared folder, as the executors reach it."""
     from pyarrow import fs
 
-    if "://" not in uri and not uri.startswith("file:"):
-        uri = f"file://{uri}"
-    elif uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(worker_uri(uri))
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     """Append records to files of this attempt's own; only indexed files count, so a retry does no harm."""
-    store, base = _filesystem(folder)
-    store.create_dir(base, recursive=True)
+    files, base = _filesystem(folder)
+    files.create_dir(base, recursive=True)
     out, name, at = None, "", 0
     for batch in batches:
         rows = []
-        for page_id, url, html, refers, revisit in zip(*map(values, batch.columns), strict=True):
+        for page_id, url, html, refers, refers_url, revisit in zip(*map(values, batch.columns), strict=True):
             payload = (html or "").encode()
             digest = digest_of(payload)
             if out is None:
-                name, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                out = store.open_output_stream(f"{base}/{name}", compression=None)
-            record = encode_record(page_id, url, payload, digest, refers, bool(revisit))
+                name = f"{uuid.uuid4().hex}.warc.gz"
+                out = files.open_output_stream(f"{base}/{name}", compression=None)
+                info = encode_info(name)
+                out.write(info)
+                at = len(info)
+            record = encode_record(page_id, url, payload, digest, refers, bool(revisit), refers_url)
             out.write(record)
             rows.append((page_id, url, name, at, len(record), digest, len(payload), "revisit" if revisit else "response"))
             at += len(record)
@@ -118,13 +154,14 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id"
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     sha = F.unhex(F.sha1(F.col("html").cast("binary")))
-    light = rows.select("page_id", F.octet_length("html").alias("bytes"), sha.alias("digest")).where(F.col("bytes") >= min_bytes)
-    groups = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    light = rows.select("page_id", "url", F.octet_length("html").alias("bytes"), sha.alias("digest")).where(F.col("bytes") >= min_bytes)
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first")
+    groups = light.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"))
     groups = stage(groups, "warc-groups")
     folder = new_folder(pages.sparkSession, "warc")
-    typed = rows.withColumn("digest", sha).join(broadcast_if_small(groups, 48), "digest", "left")
+    typed = rows.withColumn("digest", sha).join(broadcast_if_small(groups, 160), "digest", "left")
     revisit = F.coalesce(~F.col("first").eqNullSafe(F.col("page_id")) & F.col("first").isNotNull(), F.lit(False))
-    typed = typed.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    typed = typed.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), F.when(revisit, F.col("first_url")).alias("refers_url"), revisit.alias("revisit"))
     return folder, stage(typed.mapInArrow(lambda batches: _write(batches, folder), INDEX), "warc-index")
 
 
@@ -142,10 +179,10 @@ def coalesce_ranges(offsets: list[int], lengths: list[int], gap: int = GAP_BYTES
 
 
 def _read(pdf: pd.DataFrame, folder: str, payloads: bool) -> pd.DataFrame:
-    store, base = _filesystem(folder)
+    files, base = _filesystem(folder)
     pdf = pdf.sort_values("offset")
     offsets, lengths, rows = pdf["offset"].tolist(), pdf["length"].tolist(), []
-    with store.open_input_file(f"{base}/{pdf['file'].iloc[0]}") as f:
+    with files.open_input_file(f"{base}/{pdf['file'].iloc[0]}") as f:
         for i, j, size in coalesce_ranges(offsets, lengths):
             block = memoryview(f.read_at(size, offsets[i]))
             for k in range(i, j):
@@ -160,11 +197,15 @@ def read_records(folder: str, selected: DataFrame, payloads: bool = True) -> Dat
     """The records of the ``selected`` index rows, read by byte range.
 
     Rows are grouped by file and block of ``READ_BYTES``; each group sorts its
-    ranges and merges neighbours into one read, so a task holds one block.
-    ``payloads=False`` checks every payload but returns none.
+    ranges and merges neighbours into one read, so a task holds one block at a
+    time. The groups are dealt to tasks by the bytes behind the index, not by
+    its own few. ``payloads=False`` checks every payload but returns none.
     """
+    size = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    least = min(selected.sparkSession.sparkContext.defaultParallelism, -(-size // READ_BYTES))
     block = F.floor(F.col("offset") / READ_BYTES).alias("block")
-    return selected.select("file", "offset", "length", block).groupBy("file", "block").applyInPandas(lambda pdf: _read(pdf, folder, payloads), RECORD)
+    dealt = selected.select("file", "offset", "length", block).repartition(max(1, least, -(-size // TASK_BYTES)), "file", "block")
+    return dealt.groupBy("file", "block").applyInPandas(lambda pdf: _read(pdf, folder, payloads), RECORD)
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

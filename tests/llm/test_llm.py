@@ -304,6 +304,36 @@ def test_warc_round_trip(spark):
     assert warc.archive_pages(pages.limit(0)).collect() == []
 
 
+def test_archives_are_plain_warc(spark):
+    """An independent reader finds every record, with its own id, by gzip member and by length."""
+    import gzip
+    from pathlib import Path
+
+    long = "http://a/" + "x" * 100_000
+    pages = spark.createDataFrame([(1, long, "<p>a</p>"), (1, long, "<p>a</p>"), (2, "http://b/", "<p>a</p>"), (3, None, "z" * 70_000)], "page_id long, url string, html string")
+    folder, index = warc.write_archives(pages)
+    found, ids = [], []
+    for name in {r.file for r in index.collect()}:
+        raw = gzip.decompress(Path(f"{folder.removeprefix('file://')}/{name}").read_bytes())
+        while raw:
+            head, _, rest = raw.partition(b"\r\n\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            block, raw = rest[: int(fields["Content-Length"])], rest[int(fields["Content-Length"]) + 4 :]
+            ids.append(fields["WARC-Record-ID"])
+            if fields["WARC-Type"] != "warcinfo":
+                status, _, body = block.partition(b"\r\n\r\n")
+                assert fields["Content-Type"] == "application/http; msgtype=response" and status.startswith(b"HTTP/1.1 200 OK\r\n")
+                found.append((fields["WARC-Type"], fields["WARC-Target-URI"], len(body), fields.get("WARC-Refers-To-Target-URI")))
+    assert sorted(found) == sorted([("response", long, 8, None), ("response", long, 8, None), ("revisit", "http://b/", 0, long), ("response", "", 70_000, None)])
+    assert len(set(ids)) == len(ids)
+
+
+def test_folders_by_hadoop_names():
+    assert [warc.worker_uri(u) for u in ("s3a://b/c", "/tmp/x", "file:/tmp/x", "file:///tmp/x", "hdfs://n:9/x")] == ["s3://b/c", "file:///tmp/x", "file:///tmp/x", "file:///tmp/x", "hdfs://n:9/x"]
+    with pytest.raises(ValueError, match="wasb"):
+        warc.worker_uri("wasb://c/x")
+
+
 def test_ranges_are_merged():
     assert warc.coalesce_ranges([0, 10, 30, 1000], [10, 10, 5, 7], gap=15, most=100) == [(0, 3, 35), (3, 4, 7)]
     assert warc.coalesce_ranges([0, 10], [10, 10], gap=15, most=15) == [(0, 1, 10), (1, 2, 10)]
