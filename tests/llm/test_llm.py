@@ -513,6 +513,33 @@ def test_contamination_against_all_pairs(spark, odd, none, block_words):
         want.append((i, bool(found), None if best[1] is None else -best[1], best[0], len(found)))
     assert Counter((r.doc_id, r.contaminated, r.best_item, r.best_score, r.n_items) for r in got) == Counter(want)
     assert decontam.contamination(none, bench).collect() == []
+
+
+@pytest.mark.parametrize("edit", ["random", "replace3", "replace4", "insert3", "delete4"])
+def test_edited_copies_are_found(edit):
+    """Every planted copy whose alignment with its item reaches half the score is found, whatever the edits."""
+    rnd = random.Random(edit)
+    pool = [f"v{int(rnd.paretovariate(0.7))}" for _ in range(40_000)]
+    items = [(k, " ".join(rnd.choices(pool, k=rnd.randint(15, 55)))) for k in range(60)]
+    index = decontam.build_index(items)
+    counts = np.bincount(index.words(" ".join(pool)), minlength=len(index.vocab) + 1)
+    rare = decontam.rare_seeds(index, counts, int(counts.sum()))
+    found = due = 0
+    for _ in range(200):
+        k, rate, out = rnd.randrange(60), rnd.choice([0.1, 0.2, 0.3, 0.4]), []
+        for i, x in enumerate(items[k][1].split()):
+            hit = rnd.random() < rate if edit == "random" else i % int(edit[-1]) == int(edit[-1]) - 1
+            kind = rnd.choice(["replace", "insert", "delete"]) if edit == "random" else edit[:-1]
+            out += [x] if not hit else {"replace": [rnd.choice(pool)], "insert": [x, rnd.choice(pool)], "delete": []}[kind]
+        text = index.words(" ".join([*rnd.choices(pool, k=60), *out, *rnd.choices(pool, k=60)]))
+        if decontam.align(index.items[k], text)[0] >= decontam.ALIGNED * 2 * len(index.items[k]):
+            due += 1
+            found += decontam.seeded(index, decontam.seed_hits(index, text)) and any(i == k and score >= decontam.ALIGNED for i, score, _, _ in decontam.passages(index, text, rare))
+    assert due > 50 and found >= 0.98 * due
+
+
+def test_contamination_without_items(spark, odd):
+    bench = spark.createDataFrame([(1, "some words")], "item_id long, text string")
     assert not any(r.contaminated for r in decontam.contamination(odd, bench.limit(0)).collect())
 
 
