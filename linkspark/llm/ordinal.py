@@ -78,6 +78,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x[:, None] - self.thresholds[None, :], -40, 40)))
 
 
+def ordinal_loss(score: np.ndarray, cuts: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of grades ``y``, and its gradients by score and by threshold."""
+    every = np.arange(len(score))
+    tail = np.concatenate([np.ones((len(score), 1)), 1 / (1 + np.exp(-np.clip(score[:, None] - cuts, -40, 40))), np.zeros((len(score), 1))], 1)
+    hi, lo = tail[every, y], tail[every, y + 1]
+    p = np.maximum(hi - lo, 1e-9)
+    d_hi, d_lo = hi * (1 - hi), lo * (1 - lo)
+    d_cut = np.zeros(len(cuts) + 2)
+    np.add.at(d_cut, y, d_hi / p / len(score))
+    np.add.at(d_cut, y + 1, -d_lo / p / len(score))
+    return float(-np.log(p).mean()), -(d_hi - d_lo) / p / len(score), d_cut[1 : len(cuts) + 1]
+
+
 def ordinal_fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, dims: int = 1 << DIMS_BITS, seed: int = 11) -> Model:
     """Maximum likelihood by Adam: P(grade = k) = P(grade > k - 1) - P(grade > k).
 
@@ -104,16 +117,7 @@ def ordinal_fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, l
             cols, x = flat[pos], vals[pos]
             score = np.bincount(owner, theta[cols] * x, len(at))
             cuts = theta[dims] + np.concatenate([[0], np.cumsum(np.exp(theta[dims + 1 :]))])
-            tail = np.concatenate([np.ones((len(at), 1)), 1 / (1 + np.exp(-np.clip(score[:, None] - cuts, -40, 40))), np.zeros((len(at), 1))], 1)
-            y, every = grades[at], np.arange(len(at))
-            hi, lo = tail[every, y], tail[every, y + 1]
-            p = np.maximum(hi - lo, 1e-9)
-            d_hi, d_lo = hi * (1 - hi), lo * (1 - lo)
-            d_score = -(d_hi - d_lo) / p / len(at)
-            d_cut = np.zeros(k + 2)
-            np.add.at(d_cut, y, d_hi / p / len(at))
-            np.add.at(d_cut, y + 1, -d_lo / p / len(at))
-            d_cut = d_cut[1 : k + 1]
+            _, d_score, d_cut = ordinal_loss(score, cuts, grades[at])
             grad = np.concatenate([np.bincount(cols, d_score[owner] * x, dims) + L2 * theta[:dims], [d_cut.sum()], d_cut[::-1].cumsum()[::-1][1:] * np.exp(theta[dims + 1 :])])
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -129,12 +133,18 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, levels: int, grade_col: str = "grade", id_col: str = "doc_id", text_col: str = "text", rated: int = RATED) -> Model:
-    """Learn from at most ``rated`` ratings outside the held-out fold, those of the smallest id hashes."""
+    """Learn from at most ``rated`` ratings outside the held-out fold, those of the smallest id hashes.
+
+    Of an id that repeats in ``docs`` one text counts, that of the least hash;
+    of one that repeats in ``ratings`` the lowest grade. Null grades and
+    grades outside 0 to ``levels`` - 1 are ignored.
+    """
     known = ratings.select(F.col(id_col).cast("long").alias("id"), F.col(grade_col).cast("int").alias("grade"))
     known = known.where(F.col("id").isNotNull() & F.col("grade").between(0, levels - 1) & ~held_out(F.col("id"))).groupBy("id").agg(F.min("grade").alias("grade"))
     known = stage(known.orderBy(F.xxhash64("id"), "id").limit(rated), "ordinal-ratings")  # bounded by the parameter
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = text.join(F.broadcast(known), "id").select("text", "grade").mapInArrow(_featured, "grade int, slots binary, vals binary").collect()
+    one = text.join(F.broadcast(known), "id").groupBy("id", "grade").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    rows = one.select("text", "grade").mapInArrow(_featured, "grade int, slots binary, vals binary").collect()
     rows.sort(key=lambda r: (r["grade"], r["slots"], r["vals"]))
     pairs = [(np.frombuffer(r["slots"], np.int32).astype(np.int64), np.frombuffer(r["vals"], np.float32)) for r in rows]
     return ordinal_fit(pairs, np.array([r["grade"] for r in rows], np.int64), levels)
@@ -169,7 +179,8 @@ def grade_rows(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def ratings_of(labels: DataFrame) -> DataFrame:
-    """Grades of labelled documents: 0 for bad quality, 1 for good but toxic text, 2 for good clean text."""
+    """Grades of labelled documents by their use for training: 0 to be left out (bad quality), 1 of use where a
+    filter follows (good, but toxic), 2 of use anywhere."""
     quality, toxic = F.col("quality"), F.coalesce(F.col("toxic"), F.lit(0))
     return labels.where(quality.isNotNull()).select("doc_id", F.when(quality == 0, 0).when(toxic == 1, 1).otherwise(2).alias("grade"))
 

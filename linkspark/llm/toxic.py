@@ -52,13 +52,27 @@ def held_out(doc_id: Column) -> Column:
 # --- learning ---------------------------------------------------------------
 
 
+def nnpu_risk(g: np.ndarray, is_p: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of scores ``g`` and the direction, by score, to step against.
+
+    With sigmoid loss l(g) = 1 / (1 + exp(g)): prior * E_P[l(g)] +
+    max(0, E_U[l(-g)] - prior * E_P[l(-g)]). While the second part is at
+    least -BETA the direction is the gradient of the whole; below, GAMMA
+    times the negative gradient of that part.
+    """
+    s = 1 / (1 + np.exp(-np.clip(g, -40, 40)))  # l(-g); l(g) = 1 - s
+    negative = s[~is_p].mean() - prior * s[is_p].mean()
+    slope, p, u = s * (1 - s), is_p.sum(), (~is_p).sum()
+    d_neg = np.where(is_p, -prior * slope / p, slope / u)
+    d = np.where(is_p, -prior * slope / p, 0) + d_neg if negative >= -BETA else -GAMMA * d_neg
+    return float(prior * (1 - s[is_p]).mean() + max(0.0, negative)), d
+
+
 def nnpu_fit(rows: list[np.ndarray], positive: np.ndarray, dims: int, prior: float, seed: int = 7) -> tuple[np.ndarray, float, list[float]]:
     """Weights, bias and risk per epoch from presence features (lists of indices) of P and U.
 
-    Minimises prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]) with
-    the sigmoid loss l(g) = 1 / (1 + exp(g)) by Adam over mini-batches that hold P and U in
-    proportion; a batch whose negative part is below -BETA steps the other
-    way on it. Features were screened as signs of P, so weights stay at zero
+    Minimises ``nnpu_risk`` by Adam over mini-batches that hold P and U in
+    proportion. Features were screened as signs of P, so weights stay at zero
     or above, and a proximal L1 step keeps chance features at zero.
     """
     rnd = np.random.default_rng(seed)
@@ -82,13 +96,8 @@ def nnpu_fit(rows: list[np.ndarray], positive: np.ndarray, dims: int, prior: flo
             owner = np.repeat(np.arange(len(at)), n)
             cols = flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[at], n)]
             g = np.bincount(owner, theta[cols], len(at)) + theta[dims]
-            s = 1 / (1 + np.exp(-np.clip(g, -40, 40)))  # l(-g); l(g) = 1 - s
-            is_p = np.arange(len(at)) < len(p)
-            negative = s[~is_p].mean() - prior * s[is_p].mean()
-            total += prior * (1 - s[is_p]).mean() + max(0.0, negative)
-            slope = s * (1 - s)
-            d_neg = np.where(is_p, -prior * slope / len(p), slope / len(u))
-            d = np.where(is_p, -prior * slope / len(p), 0) + d_neg if negative >= -BETA else -GAMMA * d_neg
+            risk, d = nnpu_risk(g, np.arange(len(at)) < len(p), prior)
+            total += risk
             grad = np.append(np.bincount(cols, d[owner], dims), d.sum())
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -149,7 +158,8 @@ def _active(batches: Iterator[pa.RecordBatch], ids: np.ndarray) -> Iterator[pa.R
 def learning_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, positives: int, unlabelled: int) -> tuple[DataFrame, float]:
     """Texts of at most ``positives`` confirmed and ``unlabelled`` rows outside the held-out fold, and the class prior.
 
-    Ids with the smallest hashes are taken; equal texts count once. The
+    Ids with the smallest hashes are taken, each with one text (that of the
+    least hash, if it repeats), and equal texts count once. The
     unlabelled rows are drawn from all rows, confirmed ones included, so that
     they follow the mixture that the risk estimator assumes. The prior
     is the share of positives among the labelled rows outside the fold.
@@ -163,7 +173,8 @@ def learning_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     ids = p_ids.unionByName(u_ids).groupBy("id").agg(F.max("p").alias("p"), F.max("u").alias("u"))
     ids = stage(ids, "toxic-sample-ids")  # bounded by the two parameters
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sample = text.join(F.broadcast(ids), "id").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("p").alias("p"), F.max("u").alias("u"))
+    one = text.join(F.broadcast(ids), "id").groupBy("id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"), F.max("p").alias("p"), F.max("u").alias("u"))
+    sample = one.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("p").alias("p"), F.max("u").alias("u"))
     return stage(sample.select("text", "p", "u"), "toxic-sample"), (toxic / count if count else 0.0)
 
 

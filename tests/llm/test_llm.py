@@ -376,6 +376,64 @@ def test_nnpu_on_held_out_rows(spark, odd, none):
     assert left.columns == docs_of(spark, docs).columns and {r.doc_id for r in left.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def test_nnpu_risk_and_direction():
+    rnd = np.random.default_rng(3)
+    seen = set()
+    for prior in (0.05, 0.4, 0.9):
+        for spread in (0.5, 3.0):
+            is_p = rnd.random(40) < 0.4
+            g = rnd.normal(0, spread, 40) + 2 * is_p
+            ell = lambda z: 1 / (1 + math.exp(z))
+            pos = prior * np.mean([ell(x) for x in g[is_p]])
+            neg = np.mean([ell(-x) for x in g[~is_p]]) - prior * np.mean([ell(-x) for x in g[is_p]])
+            risk, d = toxic.nnpu_risk(g, is_p, prior)
+            assert abs(risk - (pos + max(0.0, neg))) < 1e-12
+            seen.add(neg >= -toxic.BETA)
+
+            def part(x):
+                s = 1 / (1 + np.exp(-x))
+                low = s[~is_p].mean() - prior * s[is_p].mean()
+                return prior * (1 - s[is_p]).mean() + low if neg >= -toxic.BETA else -toxic.GAMMA * low
+
+            for i in range(40):
+                e = np.eye(40)[i] * 1e-6
+                assert abs((part(g + e) - part(g - e)) / 2e-6 - d[i]) < 1e-6
+    assert seen == {True, False}
+
+
+def test_repeated_ids_keep_the_learning_sample_bounded(spark):
+    docs = docs_of(spark, [(i % 5 + 1, f"text number {i}") for i in range(400)] + [(None, "no id")] * 50)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 6)], "doc_id long, quality int, toxic int")
+    sample, _ = toxic.learning_sample(docs, labels, "toxic", "doc_id", "text", 3, 4)
+    assert sample.count() <= 7
+    assert len(toxic.toxicity(docs, labels).collect()) == 450
+    model = ordinal.fit(docs, labels.select("doc_id", F.lit(1).alias("grade")), 3)
+    assert len(ordinal.grade_rows(docs, model).collect()) == 450
+
+
+def test_ordinal_gradients():
+    rnd = np.random.default_rng(5)
+    score, cuts, y = rnd.normal(0, 2, 30), np.array([-1.0, 0.2, 1.7]), rnd.integers(0, 4, 30)
+    loss, d_score, d_cut = ordinal.ordinal_loss(score, cuts, y)
+    above = lambda x, k: 1.0 if k < 0 else 0.0 if k > 2 else 1 / (1 + math.exp(cuts[k] - x))
+    assert abs(loss + np.mean([math.log(above(x, k - 1) - above(x, k)) for x, k in zip(score, y, strict=True)])) < 1e-9
+    for i in range(30):
+        e = np.eye(30)[i] * 1e-6
+        assert abs((ordinal.ordinal_loss(score + e, cuts, y)[0] - ordinal.ordinal_loss(score - e, cuts, y)[0]) / 2e-6 - d_score[i]) < 1e-6
+    for k in range(3):
+        e = np.eye(3)[k] * 1e-6
+        assert abs((ordinal.ordinal_loss(score, cuts + e, y)[0] - ordinal.ordinal_loss(score, cuts - e, y)[0]) / 2e-6 - d_cut[k]) < 1e-6
+
+
+def test_odd_grades_are_ignored(spark):
+    docs = docs_of(spark, [(i, f"good words {i}" if i % 2 else "BAD!!! ###") for i in range(60)])
+    odd_ones = [(i, g) for i in range(60) for g in (None, -1, 7)]
+    plain = spark.createDataFrame([(i, 2 * (i % 2)) for i in range(60)], "doc_id long, grade int")
+    more = plain.unionByName(spark.createDataFrame(odd_ones, "doc_id long, grade int"))
+    a, b = (sorted((r.doc_id, r.expected_grade) for r in ordinal.grade_rows(docs, ordinal.fit(docs, x, 3)).collect()) for x in (plain, more))
+    assert a == b
+
+
 # --- 7 packing ---------------------------------------------------------------------------
 
 
