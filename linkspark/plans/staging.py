@@ -8,8 +8,10 @@ numbers.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ def shared_root(spark: SparkSession) -> str:
     """The folder shared by driver and executors; a temp folder only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.partition("[")[0] != "local":  # executors of local-cluster have folders of their own
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="linkspark-")
     if not spark.sparkContext.getCheckpointDir():
@@ -47,16 +49,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete everything staged so far; call once the results have been written."""
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete what was staged (after the first ``since`` folders); call once the results have been written."""
     jvm, n = spark.sparkContext._jvm, 0
-    while _STAGED:
+    while len(_STAGED) > since:
         path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         n += bool(fs.delete(path, True))
     return n
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is deleted at the end; results must have been written by then."""
+    since = len(_STAGED)
+    try:
+        yield
+    finally:
+        release(spark, since)
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``broadcast(df)`` if its counted size stays below ``limit``, else ``df`` for a shuffled join.
 
