@@ -2,7 +2,14 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir)
 and returns a DataFrame that is written as Parquet and read as the next one's
-``docs``. All but the last return the columns of ``documents``.
+``docs``. All but the last return the columns of ``documents``, whatever they
+are called.
+
+Null texts count as empty; empty texts equal each other and hold no benchmark
+item. Very long texts are read whole. Rows that repeat an id, or have none,
+are decided on one by one; of equal or near-equal rows the one of the largest
+id stays, null being the least. Without labels nothing is rejected, without
+benchmark items nothing is dropped, and empty tables pass through as such.
 """
 
 from __future__ import annotations
@@ -14,7 +21,7 @@ from pyspark.sql import functions as F
 
 from linkspark.llm import decontam, exact, near, pack, toxic
 from linkspark.llm.queries import vocabulary
-from linkspark.plans.staging import broadcast_if_small, new_folder, stage
+from linkspark.plans.staging import broadcast_if_small, new_folder, scratch, stage
 
 
 def _without(docs: DataFrame, dropped: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -75,10 +82,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again; its intermediates are deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage_of in STAGES:
         out = new_folder(spark, "pipeline-" + name.replace(" ", "-"))
-        stage_of(spark, docs, sf_dir).write.parquet(out)
+        with scratch(spark):
+            stage_of(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
     return docs

@@ -53,5 +53,26 @@ def test_stages(spark, tmp_path):
     assert max(r.n for r in packed) <= 4096 and near.SIMILARITY == 0.8
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, clashing column names and very long texts; every stage, each on its own."""
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    more = ", own_id long, rid long, ukey string, size int, kept boolean, score double, tkey string"
+    rnd = random.Random(2)
+    long = " ".join(f"w{rnd.randrange(9000)}" for _ in range(60_000))
+    rows = [(i, t, "en", "s", 1, 9, 9, "u", 3, True, 0.5, "k") for i, t in [(1, long), (2, long + " end"), (3, None), (None, "none"), (4, "few words"), (4, "other words")]]
+    full, none = (spark.createDataFrame(r, DOCS + more) for r in (rows, []))
+    kept = {"toxicity": 6, "exact dedup": 6, "near dedup": 5, "decontamination": 6}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, full, folder)
+        if name in kept:
+            assert got.columns == full.columns and got.count() == kept[name], name
+            assert {r.own_id for r in got.collect()} == {9}
+        else:
+            assert {r.doc_id for r in got.collect()} == {1, 2, 3, 4, None}
+        assert stage(spark, none, folder).count() == 0
+
+
 def test_run_on_a_small_table(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
