@@ -78,3 +78,8 @@ def url_domain(c: Column) -> Column:
     """Scheme and host of a url that goes on with ``/`` or ``?``; null for others."""
     found = F.regexp_extract(c, r"https?://[^/]+(?=/|\?)", 0)
     return F.when(found != "", found)
+
+
+def attribute_of(feature: Column, attributes: list[str]) -> Column:
+    """The longest attribute that a feature's name begins with; null if there is none."""
+    return F.coalesce(*(F.when(F.startswith(feature, F.lit(a)), a) for a in sorted(attributes, key=len, reverse=True)))

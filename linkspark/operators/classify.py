@@ -35,6 +35,15 @@ def weighted_rule(weights: list[float], threshold: float, features: Column | str
     return value >= threshold, value
 
 
+#: Match rules by name, each of a threshold and a feature array.
+RULES = {"mean": lambda t, f: mean_rule(t, f)[0], "min": lambda t, f: min_rule(t, f)[0], "exact": lambda _, f: exact_rule(f)}
+
+
+def rule(name: str, threshold: float, features: Column | str = "features") -> Column:
+    """A match rule by its name."""
+    return RULES[name](threshold, features)
+
+
 CLASSIFIERS = ("rf", "dt", "gboost", "svm", "logr", "linr")
 
 

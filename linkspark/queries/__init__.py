@@ -30,4 +30,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from linkspark.queries import graphs, learning, more, relational, similarity, sources, statistics  # noqa: F401
+    from linkspark.queries import graphs, inventory, learning, more, relational, similarity, sources, statistics  # noqa: F401

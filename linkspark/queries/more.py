@@ -23,13 +23,13 @@ def flt_self(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "user_id").where("x <> y").groupBy(F.col("user_id").alias("u")).agg(F.count("*").alias("n"))
 
 
-@query("FLT-05_integrated", "WITH t AS (SELECT DISTINCT a.source AS a, b.source AS b FROM documents a JOIN documents b ON a.source < b.source), i AS (SELECT DISTINCT source FROM documents WHERE lang = 'fr' AND n_chars > 20000) SELECT a, b FROM t WHERE a IN (SELECT source FROM i) OR b IN (SELECT source FROM i)")
+@query("FLT-05_integrated", "WITH t AS (SELECT DISTINCT a.source AS a, b.source AS b FROM documents a JOIN documents b ON a.source < b.source), i AS (SELECT DISTINCT source FROM documents WHERE lang = 'fr' AND n_chars > 4000) SELECT a, b FROM t WHERE a IN (SELECT source FROM i) OR b IN (SELECT source FROM i)")
 def flt_integrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks with an integrated source: two semi joins over source names."""
     d = table(spark, sf_dir, "documents")
     s = d.select("source").distinct()
     t = s.select(F.col("source").alias("a")).crossJoin(s.select(F.col("source").alias("b"))).where("a < b")
-    i = d.where("lang = 'fr' and n_chars > 20000").select("source").distinct()
+    i = d.where("lang = 'fr' and n_chars > 4000").select("source").distinct()
     left, right = (t.join(i, t[c] == i.source, "left_semi") for c in "ab")
     return left.union(right).distinct()
 

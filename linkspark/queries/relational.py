@@ -526,10 +526,10 @@ def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("event_type = 'click'").select("user_id").intersect(e.where("event_type = 'purchase'").select("user_id"))
 
 
-@query("SET-03_except", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SET-03_except", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without an order."""
-    return table(spark, sf_dir, "customer").select("c_custkey").subtract(table(spark, sf_dir, "orders").select("o_custkey"))
+    """Customers without a finished order."""
+    return table(spark, sf_dir, "customer").select("c_custkey").subtract(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_custkey"))
 
 
 @query("SET-04_concatenate", "SELECT count(*) AS n FROM (SELECT l_orderkey FROM lineitem UNION ALL SELECT o_orderkey FROM orders)")

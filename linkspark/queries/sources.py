@@ -36,7 +36,8 @@ def src_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("long").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
 
 
-def _json_graph(spark: SparkSession, sf_dir: str) -> str:
+def json_graph(spark: SparkSession, sf_dir: str) -> str:
+    """A JSON graph folder: nations as vertices, suppliers as edges."""
     base = new_folder(spark, "src-json-graph")
     n = table(spark, sf_dir, "nation")
     n.select(F.col("n_nationkey").cast("string").alias("id"), F.struct(F.col("n_regionkey").cast("string").alias("srcId"), F.col("n_nationkey").cast("string").alias("recId"), F.col("n_name").alias("name")).alias("data")).write.json(f"{base}/vertices.json")
@@ -46,28 +47,33 @@ def _json_graph(spark: SparkSession, sf_dir: str) -> str:
 
 
 @query("SRC-05_json_graph", "SELECT CAST(s_nationkey AS VARCHAR) AS u, CAST(s_suppkey % 40 AS VARCHAR) AS v, CAST(0.5 AS DOUBLE) AS sim FROM supplier WHERE s_suppkey % 40 < 25")
-def src_json_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+def srcjson_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON graph folder; edges with an unknown end go."""
-    return graphs.read_graph(spark, _json_graph(spark, sf_dir))[1]
+    return graphs.read_graph(spark, json_graph(spark, sf_dir))[1]
 
 
 @query("SRC-06_json_graph_pair", "SELECT CAST(n_nationkey AS VARCHAR) AS iri, n_name AS name FROM nation WHERE n_regionkey IN (0, 1)")
 def src_json_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities of two sources of the JSON graph."""
-    e, _ = graphs.read_graph(spark, _json_graph(spark, sf_dir), ("0", "1"))
+    e, _ = graphs.read_graph(spark, json_graph(spark, sf_dir), ("0", "1"))
     return e.select("iri", F.element_at("props", "name").alias("name"))
 
 
-@query("SRC-09_csv_graph", "SELECT CAST(p_partkey AS VARCHAR) AS iri, p_type AS source, CAST(p_size AS VARCHAR) AS rec_id, p_name || ';x|y' AS name, CAST(p_size AS VARCHAR) AS size FROM part")
-def src_csv_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A CSV graph folder with a metadata file, escaped separators and typed values."""
+def csv_graph(spark: SparkSession, sf_dir: str) -> str:
+    """A CSV graph folder with a metadata file, escaped separators and typed values: parts."""
     base = new_folder(spark, "src-csv-graph")
     p = table(spark, sf_dir, "part")
     p.select("p_type").distinct().select(F.concat(F.lit("v;"), "p_type", F.lit(";gtId:int,name:string,price:double"))).write.text(f"{base}/metadata.csv")
     name = F.regexp_replace(F.concat("p_name", F.lit(";x|y")), r"([;|])", r"\\$1")
     p.select(F.concat_ws(";", F.col("p_partkey").cast("string"), F.lit("l"), "p_type", F.concat_ws("|", F.col("p_size").cast("string"), name, F.col("p_retailprice").cast("string")))).write.text(f"{base}/vertices.csv")
     p.select(F.concat_ws(";", F.lit("e"), F.lit("l"), F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), F.lit(""), F.lit("0.5"))).write.text(f"{base}/edges.csv")
-    e, _ = graphs.read_graph(spark, base)
+    return base
+
+
+@query("SRC-09_csv_graph", "SELECT CAST(p_partkey AS VARCHAR) AS iri, p_type AS source, CAST(p_size AS VARCHAR) AS rec_id, p_name || ';x|y' AS name, CAST(p_size AS VARCHAR) AS size FROM part")
+def src_csv_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of a CSV graph folder."""
+    e, _ = graphs.read_graph(spark, csv_graph(spark, sf_dir))
     return e.select("iri", "source", "rec_id", F.element_at("props", "name").alias("name"), F.element_at("props", "gtId").alias("size"))
 
 

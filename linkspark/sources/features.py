@@ -1,4 +1,4 @@
-"""Feature files per source pair, train and test pair files, and the store of linkage tasks."""
+"""Feature files per source pair, train and test pair files, and files of linkage tasks."""
 
 from __future__ import annotations
 
@@ -27,12 +27,12 @@ def read_pair_labels(spark: SparkSession, train: str, test: str) -> DataFrame:
 
 
 def write_tasks(pairs: DataFrame, folder: str) -> None:
-    """Store pairs by source pair; an empty task is one without rows."""
+    """Write pairs by source pair; an empty task is one without rows."""
     pairs.write.mode("overwrite").partitionBy("src_a", "src_b").parquet(folder)
 
 
 def read_tasks(spark: SparkSession, folder: str, across_only: bool = False) -> DataFrame:
-    """Read the store; ``across_only`` leaves out tasks inside one source, which prunes their folders."""
+    """Read linkage tasks; ``across_only`` leaves out tasks inside one source, which prunes their folders."""
     pairs = spark.read.option("basePath", folder).schema("id_a string, id_b string, features array<double>, src_a string, src_b string").parquet(folder)
     return pairs.where("src_a <> src_b") if across_only else pairs
 
@@ -90,3 +90,15 @@ def mean_embedding(records: DataFrame, id_col: str, tokens, dictionary: DataFram
     words = records.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(tokens)).alias("token"))
     each = words.join(dictionary, "token").select("id", F.posexplode("vector").alias("k", "x")).groupBy("id", "k").agg(F.avg("x").alias("m"))
     return each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("vector"))
+
+
+def embedding_similarity(rows: DataFrame, a: str, b: str, dictionary: DataFrame, out: str = "similarity") -> DataFrame:
+    """``rows`` with the cosine of the vectors of two texts, blanks stripped; 0 if either is not in the dictionary."""
+    from linkspark.functions.similarity import cosine
+
+    def with_vector(df: DataFrame, c: str, name: str) -> DataFrame:
+        words = dictionary.select(F.col("token").alias("token__"), F.col("vector").alias(name))
+        return df.join(words, F.replace(df[c], F.lit(" "), F.lit("")) == F.col("token__"), "left").drop("token__")
+
+    both = with_vector(with_vector(rows, a, "x__"), b, "y__")
+    return both.withColumn(out, F.coalesce(cosine(F.col("x__"), F.col("y__")), F.lit(0.0))).drop("x__", "y__")
