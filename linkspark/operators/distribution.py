@@ -215,6 +215,74 @@ def mmd_permutation(samples: DataFrame, gamma: float, permutations: int = 100, s
     return samples.groupBy("pair").applyInPandas(run, "pair string, mmd double, p_value double")
 
 
+def _permuted(n: int, permutations: int, seed: int, rows: np.ndarray) -> np.ndarray:
+    """Places of ``rows`` under each of several permutations of ``range(n)``: a Feistel network whose walk ends inside."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    mask, out = np.uint64((1 << half) - 1), np.zeros((len(rows), permutations), np.int64)
+    for p in range(permutations):
+        keys = np.random.default_rng([seed, p]).integers(1, 1 << 62, 6).astype(np.uint64)
+        x, open_ = rows.astype(np.uint64), np.ones(len(rows), bool)
+        while open_.any():
+            left, right = x[open_] >> np.uint64(half), x[open_] & mask
+            for k in keys:
+                mixed = (right + k) * np.uint64(0x9E3779B97F4A7C15)
+                left, right = right, left ^ ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(7)) & mask
+            x[open_] = left << np.uint64(half) | right
+            open_ = x >= n
+        out[:, p] = x
+    return out
+
+
+def mmd_permutation_blocks(rows: DataFrame, gamma: float, permutations: int = 100, seed: int = 0, block: int = 512) -> DataFrame:
+    """``(mmd, p_value)`` of the permutation test over all of ``(side, vector)``; p = (count + 1) / (permutations + 1).
+
+    Rows are numbered side 0 first. Blocks of them meet block against block,
+    once for each unordered pair, and add up the kernel for the true sides
+    and for every permutation at a time; tasks hold two blocks. The work is
+    quadratic, as the test is, and only sums are shuffled. Null vectors are
+    left out; with fewer than two rows on a side both results are null.
+    """
+    from linkspark.plans.staging import stage
+
+    rows = stage(rows.where("vector is not null").select(F.col("side").cast("int").alias("side"), F.col("vector").cast("array<double>").alias("vector")).repartition(64, "side", "vector").sortWithinPartitions("side", "vector").withColumn("at", F.monotonically_increasing_id()), "mmd-rows")
+    part = F.shiftright("at", 33)
+    sizes = {(r["side"], r["part"]): (r["n"], r["low"]) for r in rows.groupBy("side", part.alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("low")).collect()}  # two rows per partition
+    start, low, at = {}, {}, 0
+    for key in sorted(sizes):
+        start[key], low[key] = at, sizes[key][1]
+        at += sizes[key][0]
+    n, m = at, sum(v[0] for k, v in sizes.items() if k[0] == 0)
+    session = rows.sparkSession
+    if m < 2 or n - m < 2:
+        return session.createDataFrame([(None, None)], "mmd double, p_value double")
+    begin = session.createDataFrame([(*k, start[k] - low[k]) for k in sizes], "side int, part long, shift long")
+    numbered = rows.withColumn("part", part).join(F.broadcast(begin), ["side", "part"]).select((F.col("at") + F.col("shift")).alias("rn"), "vector")
+    blocks = -(-n // block)
+    b = F.floor(F.col("rn") / block).cast("int")
+    left = numbered.select("rn", "vector", b.alias("i"), F.explode(F.sequence(b, F.lit(blocks - 1))).alias("j"), F.lit(0).alias("end"))
+    right = numbered.select("rn", "vector", F.explode(F.sequence(F.lit(0), b)).alias("i"), b.alias("j"), F.lit(1).alias("end"))
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, c = (pdf[pdf["end"] == e].sort_values("rn") for e in (0, 1))
+        x, y = (np.stack(d["vector"].to_numpy()).astype(float) for d in (a, c))
+        k = np.exp(-gamma * np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
+        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        first = [np.concatenate([(r := d["rn"].to_numpy())[:, None], _permuted(n, permutations, seed, r)], 1) < m for d in (a, c)]
+        u, v = (f.astype(float) for f in first)
+        ku, ko = k @ v, k @ (1 - v)
+        xx, yy, xy = (u * ku).sum(0), ((1 - u) * ko).sum(0), (u * ko).sum(0) + (0 if same else ((1 - u) * ku).sum(0))
+        return pd.DataFrame({"p": np.arange(permutations + 1), "xx": xx * (1 if same else 2), "yy": yy * (1 if same else 2), "xy": xy})
+
+    sums = left.unionByName(right).groupBy("i", "j").applyInPandas(add, "p int, xx double, yy double, xy double").groupBy("p").agg(*(F.sum(c).alias(c) for c in ("xx", "yy", "xy")))
+    value = F.col("xx") / (m * (m - 1)) - 2 * F.col("xy") / (m * (n - m)) + F.col("yy") / ((n - m) * (n - m - 1))
+    got = sums.select("p", value.alias("v"))
+    seen = F.max(F.when(F.col("p") == 0, F.col("v")))
+    # a value per permutation
+    each = got.agg(seen.alias("seen"), F.collect_list(F.when(F.col("p") > 0, F.col("v"))).alias("others"))
+    more = F.size(F.filter("others", lambda x: x >= F.col("seen")))
+    return each.select(F.sqrt(F.greatest("seen", F.lit(0.0))).alias("mmd"), ((more + 1) / (permutations + 1)).alias("p_value"))
+
+
 def classifier_test(pairs: DataFrame, task_a: str, task_b: str, folds: int = 5, seed: int = 0) -> float:
     """Cross-validated accuracy of telling two tasks' vectors apart with boosted trees; above 0.8 they differ."""
     from pyspark.ml.classification import GBTClassifier

@@ -94,6 +94,23 @@ def task_pairs(tasks: DataFrame) -> DataFrame:
     return a.join(b, (F.col("a1") != F.col("a2")) & (F.col("b1") != F.col("b2")) & (F.struct("a1", "b1") < F.struct("a2", "b2")))
 
 
+def overlapping(records: DataFrame, least: float, source: str = "source", rec: str = "rec_id", words: str = "words") -> DataFrame:
+    """``(id_a, id_b)`` of records of one block and different sources whose word sets may have a Jaccard similarity of ``least``.
+
+    ``records`` has ``source, rec_id, bkv, words`` (a set). Such sets share at
+    least ``least`` of the larger one, so in any common order they meet within
+    the first n - ceil(least * n) + 1 words of each; longer words come first,
+    as they are rarer. Only ids and words are joined, never whole sets, and a
+    block that holds much of the data is split by its words.
+    """
+    n = F.size(words)
+    head = F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), F.lit(1), (n - F.ceil(n * (least - 1e-9)) + 1).cast("int"))
+    heads = records.where(n > 0).select(F.col(source).alias("s"), F.col(rec).alias("id"), "bkv", n.alias("n"), F.explode(F.transform(head, lambda x: x["w"])).alias("word"))
+    a, b = (heads.select("bkv", "word", *(F.col(c).alias(f"{c}_{x}") for c in ("s", "id", "n"))) for x in "ab")
+    met = a.join(b, ["bkv", "word"]).where((F.col("s_a") < F.col("s_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (least - 1e-9)))
+    return met.select("id_a", "id_b").distinct()
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, distance, id_col: str = "id") -> DataFrame:
     """Exact k nearest rows of ``corpus`` for each query by ``distance(query column, corpus column)``; ties by id.
 

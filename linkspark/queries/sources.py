@@ -129,10 +129,10 @@ def src_pair_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.read_pair_labels(spark, f"{base}/train", f"{base}/test")
 
 
-@query("SRC-19_task_store", "SELECT a.p_type AS src_a, b.p_type AS src_b, count(*) AS n FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type < b.p_type GROUP BY ALL")
-def src_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs stored by source pair, and read back across sources only."""
-    path = new_folder(spark, "task-store")
+@query("SRC-19_task_files", "SELECT a.p_type AS src_a, b.p_type AS src_b, count(*) AS n FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type < b.p_type GROUP BY ALL")
+def src_task_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs written by source pair, and read back across sources only."""
+    path = new_folder(spark, "task-files")
     f = part_features(spark, sf_dir)
     features.write_tasks(f.withColumns({"id_a": F.col("id_a").cast("string"), "id_b": F.col("id_b").cast("string")}), path)
     return features.read_tasks(spark, path, across_only=True).groupBy("src_a", "src_b").agg(F.count("*").alias("n"))

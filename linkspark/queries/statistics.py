@@ -99,7 +99,6 @@ def mmd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("STA-08_mmd_permutation")
 def mmd_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Permutation test of seeded samples of 60 vectors per label (a sampling operator)."""
-    e = table(spark, sf_dir, "embeddings")
-    parts = [e.where(F.col("label") == k).orderBy(F.xxhash64("vec_id")).limit(60).select(F.lit("0-1").alias("pair"), F.lit(k).alias("side"), F.col("embedding").alias("vector")) for k in (0, 1)]
-    return dist.mmd_permutation(parts[0].unionByName(parts[1]), 0.5)
+    """Permutation test of all vectors of labels 0 and 1."""
+    e = table(spark, sf_dir, "embeddings").where("label in (0, 1)")
+    return dist.mmd_permutation_blocks(e.select(F.col("label").alias("side"), F.col("embedding").alias("vector")), 0.5)

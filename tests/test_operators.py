@@ -139,7 +139,10 @@ def test_mmd(spark):
     dx, dy = (spark.createDataFrame([(v.tolist(),) for v in z], "vector array<double>") for z in (x, y))
     assert abs(distribution.mmd(dx, dy, 0.3).first().mmd2 - want) < 1e-9
     both = dx.selectExpr("'p' as pair", "0 as side", "vector").unionByName(dy.selectExpr("'p' as pair", "1 as side", "vector"))
+    whole = distribution.mmd_permutation_blocks(both, 0.3, 60, block=7).first()
+    assert abs(whole.mmd - distribution.mmd(both.where("side = 0"), both.where("side = 1"), 0.3).first().mmd) < 1e-9
     r = distribution.mmd_permutation(both, 0.3, 60).first()
+    assert abs(whole.p_value - r.p_value) < 0.15
     assert abs(r.mmd**2 - want) < 1e-9 and r.p_value < 0.06
 
 
@@ -267,7 +270,7 @@ def test_strategies_and_batches(spark):
     with pytest.raises(ValueError):
         active.informativeness(df, "nonsense")
     rel = spark.createDataFrame([("a", "a", 1.0), ("a", "b", 0.95), ("b", "b", 1.0), ("b", "a", 0.2), ("c", "c", 1.0), ("c", "a", 0.0), ("a", "c", 0.1)], "task_a string, task_b string, score double")
-    assert active.best_transfer(rel, 0.1) == ["a", "c"] and sorted(active.best_transfer(rel, 0.1, most=2)) == ["a", "c"]
+    assert active.best_transfer(rel, 0.1) == ["a", "c"] and sorted(active.best_transfer(rel, 0.1, greedy=True)) == ["a", "c"]
     assert active.enough_tasks(["a"], {"a": 1, "b": 5}, 4) == ["a", "b"]
 
 

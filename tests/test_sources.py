@@ -59,17 +59,17 @@ def test_offers_and_labels(spark, tmp_path):
     assert offers.read_link_sets(spark, f"file://{tmp_path}/l.txt", f"file://{tmp_path}/l.txt").groupBy("part").count().count() == 2
 
 
-def test_feature_files_and_store(spark, tmp_path):
+def test_feature_and_task_files(spark, tmp_path):
     d = tmp_path / "f"
     d.mkdir()
     (d / "a_b.csv").write_text("source_id,target_id,pair,label,x,y\n1,2,p,True,0.5,\n3,4,q,False,1,-1\n")
     f = features.read_feature_files(spark, f"file://{d}")
     got = {r.id_a: (r.src_a, r.src_b, r.label, r.features) for r in f.collect()}
     assert got == {"1": ("a", "b", True, [0.5, None]), "3": ("a", "b", False, [1.0, -1.0])}
-    store = f"file://{tmp_path}/store"
+    tasks = f"file://{tmp_path}/tasks"
     rows = spark.createDataFrame([("a", "b", "1", "2", [0.1]), ("a", "a", "1", "3", [0.2])], "src_a string, src_b string, id_a string, id_b string, features array<double>")
-    features.write_tasks(rows, store)
-    assert features.read_tasks(spark, store).count() == 2 and features.read_tasks(spark, store, across_only=True).first().id_b == "2"
+    features.write_tasks(rows, tasks)
+    assert features.read_tasks(spark, tasks).count() == 2 and features.read_tasks(spark, tasks, across_only=True).first().id_b == "2"
     features.append_result(spark, f"file://{tmp_path}/res", {"test": "ks", "f1": 0.5})
     features.append_result(spark, f"file://{tmp_path}/res", {"test": "psi", "f1": 0.6})
     assert sum(r.n for r in features.rows_per_file(spark, f"file://{tmp_path}/res").collect()) == 2
