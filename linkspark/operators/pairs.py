@@ -27,12 +27,14 @@ def largest_blocks(records: DataFrame, keys: dict[str, Column]) -> DataFrame:
     return long.where("bkv is not null").groupBy("key", "bkv").agg(F.count("*").alias("n")).groupBy("key").agg(F.max("n").alias("max_size"))
 
 
-def candidates(keyed: DataFrame, source: str = "source", rec: str = "rec_id", intra: bool = False, salts: int = 1) -> DataFrame:
+def candidates(keyed: DataFrame, source: str = "source", rec: str = "rec_id", intra: bool = False, salts: int = 1, single: bool = False) -> DataFrame:
     """``(src_a, src_b, id_a, id_b)`` of records that share a key, once each.
 
     Sources come in order; with ``intra`` also pairs inside a source, by
     ascending id. ``salts`` above 1 splits every key's left side, so that a
-    block that holds much of the data is joined by several tasks.
+    block that holds much of the data is joined by several tasks. With
+    ``single`` each record is known to have one key and one row, so no pair
+    can repeat and the pairs are not shuffled again.
     """
     light = keyed.select(F.col(source).alias("s"), F.col(rec).alias("r"), "bkv")
     left, right = light.select(F.col("s").alias("src_a"), F.col("r").alias("id_a"), "bkv"), light.select(F.col("s").alias("src_b"), F.col("r").alias("id_b"), "bkv")
@@ -44,7 +46,8 @@ def candidates(keyed: DataFrame, source: str = "source", rec: str = "rec_id", in
     keep = F.col("src_a") < F.col("src_b")
     if intra:
         keep = keep | ((F.col("src_a") == F.col("src_b")) & (F.col("id_a") < F.col("id_b")))
-    return left.join(right, on).where(keep).select("src_a", "src_b", "id_a", "id_b").distinct()
+    found = left.join(right, on).where(keep).select("src_a", "src_b", "id_a", "id_b")
+    return found if single else found.distinct()
 
 
 def compare(pairs: DataFrame, records: DataFrame, spec: ComparisonSpec, source: str = "source", rec: str = "rec_id") -> DataFrame:
@@ -94,18 +97,24 @@ def task_pairs(tasks: DataFrame) -> DataFrame:
     return a.join(b, (F.col("a1") != F.col("a2")) & (F.col("b1") != F.col("b2")) & (F.struct("a1", "b1") < F.struct("a2", "b2")))
 
 
+def word_keys(words: Column) -> Column:
+    """64-bit keys of a set of words, in one common order: longer words, which are rarer, first."""
+    ordered = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), F.xxhash64(w).alias("k"))))
+    return F.transform(ordered, lambda x: x["k"])
+
+
 def overlapping(records: DataFrame, least: float, source: str = "source", rec: str = "rec_id", words: str = "words") -> DataFrame:
     """``(id_a, id_b)`` of records of one block and different sources whose word sets may have a Jaccard similarity of ``least``.
 
-    ``records`` has ``source, rec_id, bkv, words`` (a set). Such sets share at
-    least ``least`` of the larger one, so in any common order they meet within
-    the first n - ceil(least * n) + 1 words of each; longer words come first,
-    as they are rarer. Only ids and words are joined, never whole sets, and a
+    ``records`` has ``source, rec_id, bkv, words``, the last a set in an order
+    common to all (see ``word_keys``). Such sets share at least ``least`` of
+    the larger one, so they meet within the first n - ceil(least * n) + 1
+    words of each. Only ids and words are joined, never whole sets, and a
     block that holds much of the data is split by its words.
     """
     n = F.size(words)
-    head = F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), F.lit(1), (n - F.ceil(n * (least - 1e-9)) + 1).cast("int"))
-    heads = records.where(n > 0).select(F.col(source).alias("s"), F.col(rec).alias("id"), "bkv", n.alias("n"), F.explode(F.transform(head, lambda x: x["w"])).alias("word"))
+    head = F.slice(words, F.lit(1), (n - F.ceil(n * (least - 1e-9)) + 1).cast("int"))
+    heads = records.where(n > 0).select(F.col(source).alias("s"), F.col(rec).alias("id"), "bkv", n.alias("n"), F.explode(head).alias("word"))
     a, b = (heads.select("bkv", "word", *(F.col(c).alias(f"{c}_{x}") for c in ("s", "id", "n"))) for x in "ab")
     met = a.join(b, ["bkv", "word"]).where((F.col("s_a") < F.col("s_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (least - 1e-9)))
     return met.select("id_a", "id_b").distinct()

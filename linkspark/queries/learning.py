@@ -9,7 +9,7 @@ from linkspark.functions import keys, similarity
 from linkspark.functions.text import word_set
 from linkspark.operators import active, classify, evaluation, pairs, transfer
 from linkspark.plans import budget, reuse
-from linkspark.plans.staging import stage
+from linkspark.plans.staging import broadcast_if_small, stage
 from linkspark.queries import query, table
 from linkspark.queries.relational import _GOLD, part_gold
 from linkspark.queries.similarity import _VECTOR_SQL, part_features
@@ -56,13 +56,17 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The mean of Jaccard j, Dice 2 j / (1 + j) and size ratio (at most 1)
     reaches 0.8 only from j = 0.62 on, so only pairs that may have that much
-    in common are compared; their sets are fetched for them alone.
+    in common are compared; their sets, of 64-bit word keys, are fetched for
+    them alone.
     """
     match, confidence = classify.mean_rule(0.8)
-    d = _documents(spark, sf_dir)
-    near = pairs.overlapping(d, 0.62, rec="doc_id", words="ws")
+    d = stage(_documents(spark, sf_dir).withColumn("ws", pairs.word_keys(F.col("ws"))), "flagship-documents")
+    near = broadcast_if_small(stage(pairs.overlapping(d, 0.62, rec="doc_id", words="ws"), "flagship-near"), 32)
     a, b = _sides(d)
-    found = near.join(a.drop("bkv"), "id_a").join(b.drop("bkv"), "id_b").select("src_a", "src_b", "id_a", "id_b", _document_features())
+    both = near.join(a.drop("bkv"), "id_a").join(b.drop("bkv"), "id_b")
+    shared = stage(both.select("src_a", "src_b", "id_a", "id_b", "n_a", "n_b", F.size("w_a").alias("s_a"), F.size("w_b").alias("s_b"), F.size(F.array_intersect("w_a", "w_b")).alias("i")), "flagship-shared")
+    all_ = F.col("s_a") + F.col("s_b")
+    found = shared.withColumn("features", F.array(F.col("i") / (all_ - F.col("i")), 2 * F.col("i") / all_, similarity.ratio(F.col("n_a"), F.col("n_b"))))
     return found.where(match).select("src_a", "src_b", "id_a", "id_b", F.round(confidence, 6).alias("confidence"))
 
 

@@ -46,13 +46,13 @@ def flt_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("JOI-01_block", "SELECT a.p_type AS src_a, b.p_type AS src_b, a.p_partkey AS id_a, b.p_partkey AS id_b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type < b.p_type")
 def joi_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate pairs of one block key."""
-    return pairs.candidates(part_records(spark, sf_dir))
+    return pairs.candidates(part_records(spark, sf_dir), single=True)
 
 
 @query("JOI-01_block_salted", "SELECT a.p_type AS src_a, b.p_type AS src_b, a.p_partkey AS id_a, b.p_partkey AS id_b FROM part a JOIN part b ON a.p_brand = b.p_brand AND (a.p_type < b.p_type OR a.p_type = b.p_type AND a.p_partkey < b.p_partkey)")
 def joi_block_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with pairs inside a source and salted keys."""
-    return pairs.candidates(part_records(spark, sf_dir), intra=True, salts=4)
+    return pairs.candidates(part_records(spark, sf_dir), intra=True, salts=4, single=True)
 
 
 @query("JOI-02_pairs", """WITH p AS (SELECT l_partkey AS x, l_suppkey AS y FROM lineitem), s AS (SELECT DISTINCT least(x, y) AS lo, greatest(x, y) AS hi, x AS id_a, y AS id_b FROM p JOIN part ON p_partkey = x JOIN supplier ON s_suppkey = y),
@@ -77,7 +77,7 @@ _TASKS = "t AS (SELECT DISTINCT a.p_type AS a, b.p_type AS b FROM part a JOIN pa
 @query("JOI-04_task_pairs", f"WITH {_TASKS} SELECT x.a AS a1, x.b AS b1, y.a AS a2, y.b AS b2 FROM t x JOIN t y ON x.a <> y.a AND x.b <> y.b AND (x.a, x.b) < (y.a, y.b)")
 def joi_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of tasks that share no source on the same side."""
-    return pairs.task_pairs(pairs.candidates(part_records(spark, sf_dir)).select("src_a", "src_b").distinct())
+    return pairs.task_pairs(pairs.candidates(part_records(spark, sf_dir), single=True).select("src_a", "src_b").distinct())
 
 
 @query("JOI-05_features_of_subset", "SELECT l_orderkey, l_linenumber, p_name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size > 25 WHERE l_returnflag = 'R'")
@@ -109,13 +109,13 @@ def part_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("JOI-08_semi_gold", f"WITH {_GOLD}, {_CAND} SELECT * FROM cand WHERE (id_a, id_b) IN (SELECT id_a, id_b FROM gold)")
 def joi_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that are gold."""
-    return pairs.candidates(part_records(spark, sf_dir)).select("id_a", "id_b").join(part_gold(spark, sf_dir), ["id_a", "id_b"], "left_semi")
+    return pairs.candidates(part_records(spark, sf_dir), single=True).select("id_a", "id_b").join(part_gold(spark, sf_dir), ["id_a", "id_b"], "left_semi")
 
 
 @query("JOI-09_anti_gold", f"WITH {_GOLD}, {_CAND} SELECT id_a, id_b FROM gold EXCEPT SELECT id_a, id_b FROM cand")
 def joi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold pairs that blocking misses."""
-    return part_gold(spark, sf_dir).join(pairs.candidates(part_records(spark, sf_dir)), ["id_a", "id_b"], "left_anti")
+    return part_gold(spark, sf_dir).join(pairs.candidates(part_records(spark, sf_dir), single=True), ["id_a", "id_b"], "left_anti")
 
 
 @query("JOI-10_knn", """WITH d AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
@@ -270,7 +270,7 @@ def agg_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("AGG-09_links", f"WITH {_CAND} SELECT count(*) AS links FROM cand")
 def agg_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of pairs in all tasks."""
-    return pairs.candidates(part_records(spark, sf_dir)).agg(F.count("*").alias("links"))
+    return pairs.candidates(part_records(spark, sf_dir), single=True).agg(F.count("*").alias("links"))
 
 
 @query("AGG-10_weights", "SELECT unnest(['p_name', 'p_brand', 'p_type', 'p_size']) AS attribute, round(log2(unnest([count(DISTINCT p_name), count(DISTINCT p_brand), count(DISTINCT p_type), count(DISTINCT p_size)])), 6) AS weight FROM part")
@@ -291,7 +291,7 @@ def agg_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT record, leader, round(inter, 6) AS inter, round(tasks * inter, 6) AS intra FROM t JOIN i USING (record)""")
 def agg_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrence scores with a task's first source as its cluster."""
-    c = pairs.candidates(part_records(spark, sf_dir))
+    c = pairs.candidates(part_records(spark, sf_dir), single=True)
     assigned = c.select(F.concat_ws("|", "src_a", "src_b").alias("task"), F.col("src_a").alias("leader")).distinct()
     return scores.occurrence_scores(c, assigned).select("record", "leader", F.round("inter", 6).alias("inter"), F.round("intra", 6).alias("intra"))
 
@@ -395,7 +395,7 @@ def agg_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs and matches of every task."""
     g = part_gold(spark, sf_dir).withColumn("g", F.lit(1))
-    return pairs.candidates(part_records(spark, sf_dir)).join(g, ["id_a", "id_b"], "left").groupBy("src_a", "src_b").agg(F.count("*").alias("n_pairs"), F.count("g").alias("n_matches"))
+    return pairs.candidates(part_records(spark, sf_dir), single=True).join(g, ["id_a", "id_b"], "left").groupBy("src_a", "src_b").agg(F.count("*").alias("n_pairs"), F.count("g").alias("n_matches"))
 
 
 @query("AGG-26_local_match_ratio", """WITH d AS (SELECT a.vec_id AS id, a.label AS la, b.label AS lb, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
@@ -432,7 +432,7 @@ def eva_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reduction, completeness and quality of brand blocking."""
     n = [r["n"] for r in table(spark, sf_dir, "part").groupBy("p_type").agg(F.count("*").alias("n")).collect()]  # one row per source
     total = (sum(n) ** 2 - sum(x * x for x in n)) // 2
-    q = evaluation.blocking_quality(pairs.candidates(part_records(spark, sf_dir)), part_gold(spark, sf_dir), total)
+    q = evaluation.blocking_quality(pairs.candidates(part_records(spark, sf_dir), single=True), part_gold(spark, sf_dir), total)
     return q.select(*(F.round(c, 6).alias(c) for c in q.columns))
 
 

@@ -271,6 +271,15 @@ def test_strategies_and_batches(spark):
         active.informativeness(df, "nonsense")
     rel = spark.createDataFrame([("a", "a", 1.0), ("a", "b", 0.95), ("b", "b", 1.0), ("b", "a", 0.2), ("c", "c", 1.0), ("c", "a", 0.0), ("a", "c", 0.1)], "task_a string, task_b string, score double")
     assert active.best_transfer(rel, 0.1) == ["a", "c"] and sorted(active.best_transfer(rel, 0.1, greedy=True)) == ["a", "c"]
+    import itertools
+
+    rnd = np.random.default_rng(8)
+    for n in (4, 9, 13):
+        m = np.round(rnd.random((n, n)), 2)
+        table = spark.createDataFrame([(f"t{i:02}", f"t{j:02}", float(m[i, j])) for i in range(n) for j in range(n)], "task_a string, task_b string, score double")
+        value = lambda s: float(m[list(s)].max(axis=0).mean()) - 0.03 * len(s)  # noqa: B023, E731
+        want = max(value(s) for k in range(1, n + 1) for s in itertools.combinations(range(n), k))
+        assert abs(value([int(t[1:]) for t in active.best_transfer(table, 0.03)]) - want) < 1e-12
     assert active.enough_tasks(["a"], {"a": 1, "b": 5}, 4) == ["a", "b"]
 
 
@@ -357,3 +366,15 @@ def test_seed_points_are_sought_among_all_rows(spark):
     got = active.seed_points(spark.createDataFrame(rows, "pair_id string, features array<double>"), 2, seed=1)
     ids = {r.pair_id for r in got.collect()}
     assert len(ids) == 2 and "far" in ids
+
+
+def test_overlapping_leaves_out_no_alike_sets(spark):
+    rnd = np.random.default_rng(6)
+    rows = []
+    for i in range(120):
+        base = [f"w{x}" * (1 + x % 3) for x in rnd.integers(0, 40, rnd.integers(0, 14))]
+        rows.append((f"s{i % 3}", i, "b" if i % 2 else "c", sorted(set(base))))
+    table = spark.createDataFrame(rows, "source string, rec_id long, bkv string, words array<string>").withColumn("words", pairs.word_keys(F.col("words")))
+    found = {(r.id_a, r.id_b) for r in pairs.overlapping(table, 0.5).collect()}
+    due = {(a[1], b[1]) for a in rows for b in rows if a[0] < b[0] and a[2] == b[2] and a[3] and b[3] and len(set(a[3]) & set(b[3])) / len(set(a[3]) | set(b[3])) >= 0.5}
+    assert due and due <= found
