@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.operators import active, distribution, evaluation, graph, kernels, scores
 from linkspark.plans import budget
-from linkspark.plans.staging import stage
+from linkspark.plans.staging import new_folder, stage
 
 
 @dataclass(frozen=True)
@@ -112,25 +113,66 @@ def generate(pairs: DataFrame, gold: DataFrame, split: DataFrame, cfg: ReuseConf
     return registry
 
 
-def best_model(pairs: DataFrame, task: str, registry: Registry, cfg: ReuseConfig, weights: DataFrame | None = None) -> str | None:
-    """The leader whose training vectors are distributed most like the task's, by mean weighted similarity; None if no test has a result."""
-    spark = pairs.sparkSession
+def of_task(pairs: DataFrame, task: str) -> DataFrame:
+    """The pairs of one task; of a table partitioned by its sources only their folder is read."""
+    found = pairs.where(distribution.task_name() == task)
+    if task.count("|") == 1:
+        a, b = task.split("|")
+        found = found.where((F.col("src_a") == a) & (F.col("src_b") == b))
+    return found
+
+
+def best_models(hist: DataFrame, tasks: list[str], registry: Registry, cfg: ReuseConfig, weights: DataFrame | None = None) -> dict[str, str]:
+    """For each task with a result the leader whose training vectors are distributed most like it, by mean weighted similarity.
+
+    ``hist`` is ``distribution.histogram`` of the tasks' pairs. All tasks meet
+    all leaders in one query; what comes back is a row per task.
+    """
+    spark = hist.sparkSession
     rows = [(leader, i, float(v)) for leader, x in registry.training.items() for row in x for i, v in enumerate(row)]
-    if not rows:
-        return None
+    if not rows or not tasks:
+        return {}
     # at most the labelling budget
     known = spark.createDataFrame(rows, "task string, feature int, value double").groupBy("task", "feature", "value").agg(F.count("*").alias("n"))
-    mine = distribution.histogram(pairs.where(distribution.task_name() == task)).withColumn("task", F.lit("\x1fnew"))
-    tp = spark.createDataFrame([("\x1fnew", leader) for leader in registry.training], "task_a string, task_b string")
-    found = distribution.similarity(run_test(mine.unionByName(known), tp, cfg.test), weights, cfg.alpha)
-    best = found.where("similarity >= 0").orderBy(F.desc("avg_similarity"), "task_b").first()
-    return best["task_b"] if best else None
+    mine = hist.join(F.broadcast(spark.createDataFrame([(t,) for t in tasks], "task string")), "task", "left_semi").withColumn("task", F.concat(F.lit("\x1f"), "task"))
+    tp = spark.createDataFrame([(f"\x1f{t}", leader) for t in tasks for leader in registry.training], "task_a string, task_b string")
+    found = distribution.similarity(run_test(mine.unionByName(known), tp, cfg.test), weights, cfg.alpha).where("similarity >= 0")
+    best = found.groupBy("task_a").agg(F.min(F.struct((-F.col("avg_similarity")).alias("d"), "task_b"))["task_b"].alias("leader"))
+    return {r["task_a"][1:]: r["leader"] for r in best.collect()}
+
+
+def best_model(pairs: DataFrame, task: str, registry: Registry, cfg: ReuseConfig, weights: DataFrame | None = None) -> str | None:
+    """``best_models`` of one task; None if no test has a result."""
+    return best_models(distribution.histogram(of_task(pairs, task)), [task], registry, cfg, weights).get(task)
 
 
 def predict(pairs: DataFrame, task: str, leader: str, registry: Registry) -> DataFrame:
     """``(src_a, src_b, id_a, id_b, leader, match, confidence)`` of one task."""
-    rows = active.vote_share(pairs.where(distribution.task_name() == task), registry.models[leader])
-    return rows.select("src_a", "src_b", "id_a", "id_b", F.lit(leader).alias("leader"), (F.col("p") >= 0.5).alias("match"), F.col("p").alias("confidence"))
+    return predict_all(of_task(pairs, task), {task: leader}, registry)
+
+
+def predict_all(pairs: DataFrame, leaders: dict[str, str], registry: Registry) -> DataFrame:
+    """``(src_a, src_b, id_a, id_b, leader, match, confidence)`` of all tasks that have a leader, in one narrow pass."""
+    spark = pairs.sparkSession
+    models = spark.sparkContext.broadcast({k: registry.models[k] for k in set(leaders.values())})  # a few small trees per model
+    chosen = F.broadcast(spark.createDataFrame(list(leaders.items()), "task__ string, leader string"))  # a row per task
+
+    @F.pandas_udf("double")
+    def share(leader: pd.Series, x: pd.Series) -> pd.Series:
+        out = pd.Series(0.0, index=x.index)
+        for k, rows in x.groupby(leader):
+            out[rows.index] = kernels.vote(models.value[k], np.stack(rows.to_numpy()).astype(float))
+        return out
+
+    rows = pairs.join(chosen, distribution.task_name() == F.col("task__")).withColumn("p", share("leader", "features"))
+    return rows.select("src_a", "src_b", "id_a", "id_b", "leader", (F.col("p") >= 0.5).alias("match"), F.col("p").alias("confidence"))
+
+
+def _by_task(pairs: DataFrame) -> DataFrame:
+    """``pairs`` in folders by source pair, the rows of each spread over several files."""
+    path = new_folder(pairs.sparkSession, "reuse-pairs")
+    pairs.repartition("src_a", "src_b", F.pmod(F.xxhash64("id_a"), F.lit(16))).write.partitionBy("src_a", "src_b").parquet(path)
+    return pairs.sparkSession.read.schema(pairs.schema).parquet(path)
 
 
 def run(pairs: DataFrame, gold: DataFrame, cfg: ReuseConfig = ReuseConfig()) -> tuple[DataFrame, Registry]:
@@ -139,28 +181,33 @@ def run(pairs: DataFrame, gold: DataFrame, cfg: ReuseConfig = ReuseConfig()) ->
     A task can be searched once one of its sources is integrated; the next
     comparable task in arrival order is taken, classified, and its sources
     join the integrated ones. Tasks without a fitting model get a new one.
-    Empty tasks do not exist in the pairs table.
+    Empty tasks do not exist in the pairs table. All waiting tasks are held
+    against all models at once, and again only after a new model was trained;
+    the predictions are one pass at the end, as models do not change.
     """
-    pairs = stage(pairs, "reuse-pairs")
+    pairs = _by_task(pairs)
     split = stage(budget.split_tasks(budget.task_sizes(pairs), cfg.split_ratio, cfg.seed), "reuse-split")
     registry = generate(pairs, gold, split, cfg)
     weights = stage(distribution.feature_weights(pairs), "reuse-weights")
     ready = {r["source"] for r in budget.integrated_sources(split).collect()}
     waiting = [(r["task"], r["src_a"], r["src_b"]) for r in split.where("not solved").orderBy("turn").collect()]
-    out = None
+    hist = stage(distribution.histogram(pairs), "reuse-histogram") if waiting else None
+    fits = best_models(hist, [w[0] for w in waiting], registry, cfg, weights) if waiting else {}
+    leaders: dict[str, str] = {}
     while waiting:
         at = next((i for i, (_, a, b) in enumerate(waiting) if a.removesuffix("_test") in ready or b.removesuffix("_test") in ready), 0)
         task, a, b = waiting.pop(at)
-        leader = best_model(pairs, task, registry, cfg, weights)
+        leader = fits.get(task)
         if leader is None or not registry.models.get(leader):
             train_cluster(pairs, gold, task, [task], cfg.new_task_budget, cfg, registry)
             leader = task
+            fits = best_models(hist, [w[0] for w in waiting], registry, cfg, weights)
         registry.members[leader].append(task)
-        found = predict(pairs, task, leader, registry)
-        out = found if out is None else out.unionByName(found)
+        leaders[task] = leader
         ready |= {a, b}
-    empty = pairs.sparkSession.createDataFrame([], "src_a string, src_b string, id_a string, id_b string, leader string, match boolean, confidence double")
-    return (empty if out is None else stage(out, "reuse-predicted")), registry
+    if not leaders:
+        return pairs.sparkSession.createDataFrame([], "src_a string, src_b string, id_a string, id_b string, leader string, match boolean, confidence double"), registry
+    return stage(predict_all(pairs, leaders, registry), "reuse-predicted"), registry
 
 
 def evaluate(predicted: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame]:
