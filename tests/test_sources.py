@@ -138,6 +138,37 @@ def test_stream_holds_tasks_back(spark, tmp_path):
     assert spark.read.option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/out").count() == pairs.count()
 
 
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    pairs, _ = linkage_tasks(spark, 40)
+    x = np.random.default_rng(0).uniform(size=(60, 3))
+    tasks = sorted({(r.src_a, r.src_b) for r in pairs.select("src_a", "src_b").distinct().collect()})
+    far, link = next((f, t) for f in tasks for t in tasks if len(set(f) & set(t)) == 1)
+    hub = next(iter(set(link) - set(far)))
+    folder, out, wait = (f"file://{tmp_path}/{n}" for n in ("in", "out", "wait"))
+
+    def fresh():  # as a new driver would start: nothing but models and the first sources
+        registry = reuse.Registry({"m": kernels.committee(x, (x[:, 0] > 0.5).astype(float), 5)}, {"m": x}, {"m": ["m"]})
+        return arrivals.Arrivals(registry, {hub}, out, wait, reuse.ReuseConfig(test="wasserstein"))
+
+    def arrive(task):
+        pairs.where((F.col("src_a") == task[0]) & (F.col("src_b") == task[1])).coalesce(1).write.mode("append").parquet(folder)
+        state = fresh()
+        arrivals.start(arrivals.read_stream(spark, folder), state, f"file://{tmp_path}/cp").awaitTermination()
+        return state
+
+    assert not (tmp_path / "out").exists()
+    held = arrive(far)
+    assert held.held and not (tmp_path / "out").exists()
+    state = arrive(link)
+    name = {"|".join(t) for t in (far, link)}
+    assert {r.task for r in spark.read.parquet(out).select("task").distinct().collect()} == name
+    assert set(state.registry.members["m"]) == {"m"} | name and {*far, *link} <= state.ready
+    before = spark.read.parquet(out).count()
+    repeated = fresh()  # the last batch once more, as after a loss between its end and the commit
+    repeated.batch(pairs.where((F.col("src_a") == link[0]) & (F.col("src_b") == link[1])), 1)
+    assert spark.read.parquet(out).count() == before and repeated.registry.members == state.registry.members
+
+
 def test_staging_is_released(spark):
     a = staging.stage(spark.range(10), "x")
     assert a.count() == 10 and staging.release(spark) >= 1
