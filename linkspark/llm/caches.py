@@ -1,4 +1,4 @@
-"""Word caches of Python workers: bounded, and one operator's at a time."""
+"""Memory of Python workers: bounded word caches, one operator's at a time, and small Arrow batches."""
 
 from __future__ import annotations
 
@@ -6,8 +6,12 @@ import contextlib
 from collections.abc import Callable, Iterator
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 #: Entries of one cache; a worker's caches stay within some tens of MB.
 MOST_WORDS = 200_000
+#: Rows of one Arrow batch where a row carries a whole text or its shingles.
+BATCH_ROWS = 512
 
 _owner: list[object] = [None]
 _all: list[dict] = []
@@ -55,3 +59,15 @@ def values(column: Any) -> Iterator[Any]:
     """The values of an Arrow column one at a time, so that a batch of long texts is never held twice."""
     for x in column:
         yield x.as_py()
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Jobs that run inside pass at most ``rows`` rows at once to and from Python workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.llm.caches import WordCache, claim, values
+from linkspark.llm.caches import WordCache, claim, small_batches, values
 from linkspark.llm.tally import chunks_of, total
 from linkspark.operators.components import connected_components
 from linkspark.plans.staging import broadcast_if_small, stage
@@ -260,6 +260,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "rid", F.unhex(F.md5(F.col("text").cast("binary"))).alias("tkey"), "text")
+    with small_batches(spark):
+        light, by_unit = _classes(rows)
+    out = light.join(by_unit, "ukey")
+    return out.select("doc_id", F.col("class_top.doc_id").alias("class_id"), "class_size", (F.col("rid") == -F.col("class_top.back")).alias("kept"))
+
+
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, rid, tkey, ukey)`` of all rows and ``(ukey, class_top, class_size)`` of all units; whatever runs in Python has run by then."""
+    spark = rows.sparkSession
     counted = stage(rows.mapInArrow(_count, UNITS), "near-units")
     light = counted.where("chunk is null").select("doc_id", "rid", "tkey", "ukey")
     idf = spark.sparkContext.broadcast(word_weights(counted, light.count()))
@@ -299,9 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_unit = light.groupBy("ukey").agg(best.alias("top"), F.count("*").alias("n")).join(comps, "ukey", "left").withColumn("comp", F.coalesce("comp", "ukey"))
     per_unit = stage(per_unit, "near-classes")
     classes = per_unit.groupBy("comp").agg(F.max("top").alias("class_top"), F.sum("n").alias("class_size"))
-    by_unit = per_unit.select("ukey", "comp").join(classes, "comp").select("ukey", "class_top", "class_size")
-    out = light.join(by_unit, "ukey")
-    return out.select("doc_id", F.col("class_top.doc_id").alias("class_id"), "class_size", (F.col("rid") == -F.col("class_top.back")).alias("kept"))
+    return light, per_unit.select("ukey", "comp").join(classes, "comp").select("ukey", "class_top", "class_size")
 
 
 def candidate_texts(rows: DataFrame, light: DataFrame, degree: DataFrame) -> DataFrame:
