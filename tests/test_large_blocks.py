@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import pytest
 
 import __spark_entry__
 from linkspark.operators import pairs
@@ -88,3 +89,28 @@ def test_anti_gold_without_all_pairs(spark, tmp_path, monkeypatch):
     folder = _odd_parts(spark, tmp_path, 10)
     monkeypatch.setattr(pairs, "candidates", _no_pairs)
     assert _by_spark("JOI-09_anti_gold", spark, folder) == _by_sql("JOI-09_anti_gold", folder)
+
+
+VALUE_QUERIES = ["FVS-01_num_equal"]
+
+
+@pytest.mark.parametrize("name", VALUE_QUERIES)
+def test_pair_features_are_computed_once_per_pair_of_values(spark, tmp_path, name):
+    """One brand of 300 parts with three names, sizes and prices; null names keep their pairs."""
+    rows = [(i, ["old nut", "hot bolt", "nut", None][i % 4 if i < 8 else i % 3], "B1", ["ECONOMY", "LARGE", "SMALL"][i % 7 % 3], i % 3, 900.0 + i % 3) for i in range(300)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    column = {"FVS-01_num_equal": 4, "FVS-02_norm_sim": 4, "FVS-03_abs_diff": 5}.get(name, 1)
+    known = {r[0]: r[column] is not None for r in rows}
+    made = __spark_entry__.queries()[name](spark, str(tmp_path))
+    cols = sorted(made.columns)
+    got = sorted((tuple(r[c] for c in cols) for r in made.collect()), key=str)
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    want = con.execute(f"select id_a, id_b, sim from ({__spark_entry__.oracle_sql()[name]})").fetchall() if name in __spark_entry__.oracle_sql() else None
+    if want:
+        assert {r[:2] for r in got} == {r[:2] for r in want} and len(got) == len(want)
+        sims = {r[:2]: r[2] for r in want}
+        assert all(abs(s - sims[a, b]) < 1e-9 for a, b, s in got if known[a] and known[b])
+    assert len(got) == sum(a[3] < b[3] for a in rows for b in rows)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in plan and "round(" not in plan and "Aggregate [x" not in plan  # values are looked up, pairs of records never made distinct
