@@ -91,7 +91,7 @@ def test_anti_gold_without_all_pairs(spark, tmp_path, monkeypatch):
     assert _by_spark("JOI-09_anti_gold", spark, folder) == _by_sql("JOI-09_anti_gold", folder)
 
 
-VALUE_QUERIES = ["FVS-01_num_equal", "FVS-02_norm_sim", "FVS-03_abs_diff", "FVS-04_letter_jaccard", "FVS-05_word_jaccard"]
+VALUE_QUERIES = ["FVS-01_num_equal", "FVS-02_norm_sim", "FVS-03_abs_diff", "FVS-04_letter_jaccard", "FVS-05_word_jaccard", "FVS-06_relaxed_jaccard"]
 
 
 @pytest.mark.parametrize("name", VALUE_QUERIES)
