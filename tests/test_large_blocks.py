@@ -91,7 +91,7 @@ def test_anti_gold_without_all_pairs(spark, tmp_path, monkeypatch):
     assert _by_spark("JOI-09_anti_gold", spark, folder) == _by_sql("JOI-09_anti_gold", folder)
 
 
-VALUE_QUERIES = ["FVS-01_num_equal", "FVS-02_norm_sim", "FVS-03_abs_diff", "FVS-04_letter_jaccard", "FVS-05_word_jaccard", "FVS-06_relaxed_jaccard", "FVS-07_containment", "FVS-08_levenshtein", "FVS-09_missing", "FVS-10_overlap", "SIM-02_jaccard", "SIM-04_dice", "SIM-05_jaro_standard"]
+VALUE_QUERIES = ["FVS-01_num_equal", "FVS-02_norm_sim", "FVS-03_abs_diff", "FVS-04_letter_jaccard", "FVS-05_word_jaccard", "FVS-06_relaxed_jaccard", "FVS-07_containment", "FVS-08_levenshtein", "FVS-09_missing", "FVS-10_overlap", "SIM-02_jaccard", "SIM-04_dice", "SIM-05_jaro_standard", "SIM-06_jaro_winkler"]
 
 
 @pytest.mark.parametrize("name", VALUE_QUERIES)
