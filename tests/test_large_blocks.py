@@ -4,9 +4,10 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from linkspark.operators import pairs
+from linkspark.operators import active, pairs
 
 
 def _odd_parts(spark, folder, copies=1):
@@ -114,3 +115,24 @@ def test_pair_features_are_computed_once_per_pair_of_values(spark, tmp_path, nam
     assert len(got) == sum(a[3] < b[3] for a in rows for b in rows)
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "levenshtein" not in plan and "round(" not in plan and "Aggregate [x" not in plan  # values are looked up, pairs of records never made distinct
+
+
+def test_bootstrap_labels_sort_only_the_ends(spark):
+    """Ties by hash as before, null scores smallest; 400 rows of two source pairs, of which few are at an end."""
+    rows = [(f"{i}", "A|B" if i % 2 else "A|C", None if i in (5, 9) else float(i % 40)) for i in range(400)]
+    df = spark.createDataFrame(rows, "pair_id string, datasource_pair string, agg_score double")
+    tie = {r.pair_id: r.t for r in df.select("pair_id", F.xxhash64("pair_id", F.lit(42)).alias("t")).collect()}
+    want = set()
+    for p in ("A|B", "A|C"):
+        mine = [(i, -1.0 if s is None else s) for i, q, s in rows if q == p]
+        want |= {(min(mine, key=lambda r: (-r[1], tie[r[0]]))[0], p, True), (min(mine, key=lambda r: (r[1], tie[r[0]]))[0], p, False)}
+    got = active.bootstrap_labels(df)
+    assert {(r.pair_id, r.datasource_pair, r.label) for r in got.collect()} == want
+    assert "Join" in got._jdf.queryExecution().optimizedPlan().toString()  # rows meet the ends before they are sorted
+
+
+def test_bootstrap_query_makes_no_feature_arrays(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pairs, "block_join", _no_pairs)
+    rows = [(i, ["old nut", "hot bolt", "nut"][i % 3], f"B{i % 2}", ["ECONOMY", "LARGE", "SMALL"][i % 7 % 3], i % 5 + 1, 900.0 + i % 11) for i in range(120)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    assert _by_spark("ACT-05_bootstrap_labels", spark, str(tmp_path)) == _by_sql("ACT-05_bootstrap_labels", str(tmp_path))
