@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +137,14 @@ def test_bootstrap_query_makes_no_feature_arrays(spark, tmp_path, monkeypatch):
     rows = [(i, ["old nut", "hot bolt", "nut"][i % 3], f"B{i % 2}", ["ECONOMY", "LARGE", "SMALL"][i % 7 % 3], i % 5 + 1, 900.0 + i % 11) for i in range(120)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
     assert _by_spark("ACT-05_bootstrap_labels", spark, str(tmp_path)) == _by_sql("ACT-05_bootstrap_labels", str(tmp_path))
+
+
+def test_farthest_first_passes_stay_in_generated_code(spark):
+    rng = random.Random(3)
+    rows = [(f"{i:03}", [rng.random(), rng.random(), rng.choice([0.0, 1.0])]) for i in range(300)] + [("zero", [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "pair_id string, features array<double>")
+    near = active._cosine_sum(df, np.array([0.3, 0.5, 1.2]), "near")
+    assert "Python" not in near._jdf.queryExecution().executedPlan().toString()
+    for r in near.collect():
+        v = np.array(r.features)
+        assert abs(r.near - v @ [0.3, 0.5, 1.2] / max(np.linalg.norm(v), 1e-12)) < 1e-12
