@@ -118,6 +118,37 @@ def test_pair_features_are_computed_once_per_pair_of_values(spark, tmp_path, nam
     assert "levenshtein" not in plan and "round(" not in plan and "Aggregate [x" not in plan  # values are looked up, pairs of records never made distinct
 
 
+GATHERED = ["FVS-02_norm_sim"]
+
+
+@pytest.mark.parametrize("name", GATHERED)
+def test_pairs_are_unfolded_after_the_joins(spark, tmp_path, name):
+    """One brand of 900 parts with three names, sizes and prices: the joins put out pairs of arrays, a small part of the pairs."""
+    rows = [(i, ["old nut", "hot bolt", "nut"][i % 3], "B1", ["ECONOMY", "LARGE", "SMALL"][i // 3 % 3], i % 3, 900.0 + i % 3) for i in range(900)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    made = __spark_entry__.queries()[name](spark, str(tmp_path))
+    assert _rows_joined(made) < 3000
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    want = con.execute(f"select id_a, id_b, sim from ({__spark_entry__.oracle_sql()[name]}) order by 1, 2").fetchall()
+    got = sorted((r.id_a, r.id_b, r.sim) for r in made.collect())
+    assert len(got) == 270_000 and [r[:2] for r in got] == [r[:2] for r in want]
+    assert all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(got, want, strict=True))
+
+
+@pytest.mark.parametrize("limit", [pairs.BROADCAST_BYTES, 0])
+def test_valued_pairs_on_odd_parts(spark, tmp_path, monkeypatch, limit):
+    """Null and repeated ids keep their pairs, looked up or not; arrays of more than CHUNK ids are cut."""
+    monkeypatch.setattr(pairs, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(pairs, "CHUNK", 4)
+    parts = spark.read.parquet(f"{_odd_parts(spark, tmp_path, 5)}/part.parquet")
+    records = parts.select(F.col("p_type").alias("source"), F.col("p_partkey").alias("rec_id"), F.col("p_brand").alias("bkv"), "p_name")
+    made = pairs.valued_pairs(records, "p_name", lambda x, y: F.concat(F.coalesce(x, F.lit("-")), F.lit("|"), F.coalesce(y, F.lit("-"))))
+    all_ = records.collect()
+    want = [(a.rec_id, b.rec_id, f"{'-' if a.p_name is None else a.p_name}|{'-' if b.p_name is None else b.p_name}") for a in all_ for b in all_ if a.bkv is not None and a.bkv == b.bkv and a.source and b.source and a.source < b.source]
+    assert any(r[0] is None for r in want) and sorted(map(tuple, made.collect()), key=str) == sorted(want, key=str)
+
+
 def test_bootstrap_labels_sort_only_the_ends(spark):
     """Ties by hash as before, null scores smallest; 400 rows of two source pairs, of which few are at an end."""
     rows = [(f"{i}", "A|B" if i % 2 else "A|C", None if i in (5, 9) else float(i % 40)) for i in range(400)]
