@@ -118,7 +118,7 @@ def test_pair_features_are_computed_once_per_pair_of_values(spark, tmp_path, nam
     assert "levenshtein" not in plan and "round(" not in plan and "Aggregate [x" not in plan  # values are looked up, pairs of records never made distinct
 
 
-GATHERED = ["FVS-02_norm_sim", "FVS-03_abs_diff", "FVS-04_letter_jaccard", "FVS-05_word_jaccard", "FVS-06_relaxed_jaccard", "FVS-07_containment", "FVS-08_levenshtein", "FVS-09_missing", "SIM-04_dice"]
+GATHERED = ["FVS-02_norm_sim", "FVS-03_abs_diff", "FVS-04_letter_jaccard", "FVS-05_word_jaccard", "FVS-06_relaxed_jaccard", "FVS-07_containment", "FVS-08_levenshtein", "FVS-09_missing", "SIM-04_dice", "SIM-05_jaro_standard"]
 
 
 @pytest.mark.parametrize("name", GATHERED)
