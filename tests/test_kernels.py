@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -165,6 +166,35 @@ def test_exact_and_limiting_ks_p_values():
     assert abs(distribution.ks_p_value(1.358 * (2 / 2000) ** 0.5, 2000, 2000) - 0.05) < 0.002
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_cuts_in_turn_equal_cuts_one_by_one(seed):
+    """Unit capacities, sparse to dense, with a loop, an unknown node and several parts; other capacities go the plain way."""
+    rnd = random.Random(seed)
+    n, share = rnd.choice([6, 12, 25]), rnd.choice([0.12, 0.3, 0.8])
+    every = list(itertools.combinations(range(0, 3 * n, 3), 2))
+    e = sorted((u, v, 1.0 if seed % 5 else rnd.choice([0.5, 1.0])) for u, v in every if rnd.random() < share) + [(3, 3, 1.0)]
+    apart = sorted([x for x in every if rnd.random() < 0.2 and x not in {(u, v) for u, v, _ in e}] + [(0, 10_000)])
+    want = list(e)
+    for s, t in apart:
+        if kernels.reachable(want, s, t):
+            gone = kernels.min_cut(want, s, t)
+            want = [x for x in want if (x[0], x[1]) not in gone]
+    assert kernels.cut_apart(e, apart) == want
+
+
+def test_many_cuts_of_a_dense_graph_are_quick():
+    """300 nodes, 40,000 edges, 4,500 pairs to part."""
+    rnd = random.Random(5)
+    every = list(itertools.combinations(range(300), 2))
+    apart = [x for x in every if rnd.random() < 0.1]
+    e = [(u, v, 1.0) for u, v in sorted(set(every) - set(apart))]
+    start = time.process_time()
+    left = kernels.cut_apart(e, apart)
+    assert time.process_time() - start < 20
+    found = parts(range(300), left)
+    assert not any({s, t} <= set(p) for s, t in apart for p in found)
+
+
 def _reachable(d, m, n):
     """The statistic's grid value that a rounding of d means."""
     import math
