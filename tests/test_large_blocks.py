@@ -179,3 +179,11 @@ def test_farthest_first_passes_stay_in_generated_code(spark):
     for r in near.collect():
         v = np.array(r.features)
         assert abs(r.near - v @ [0.3, 0.5, 1.2] / max(np.linalg.norm(v), 1e-12)) < 1e-12
+
+
+def test_bootstrap_query_compares_like_parts_once(spark, tmp_path):
+    """40 copies of each part, and source pairs of one score only; the joins make no pair twice."""
+    rows = [(i, ["old nut", "hot bolt"][i // 40 % 2], "B1", "ECONOMY" if i % 2 else "LARGE", 1 + i // 40 % 2, 900.0) for i in range(160)] + [(1000 + i, "old nut", "B2", ["PROMO", "SMALL"][i % 2], 2, 901.0) for i in range(80)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    assert _by_spark("ACT-05_bootstrap_labels", spark, str(tmp_path)) == _by_sql("ACT-05_bootstrap_labels", str(tmp_path))
+    assert _rows_joined(__spark_entry__.queries()["ACT-05_bootstrap_labels"](spark, str(tmp_path))) <= 20
